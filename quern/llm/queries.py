@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions.keys import K
-from quern.llm import cutoff, scores, topn
+from quern.functions.keys import K, record_name
+from quern.llm import cutoff, scores, splits, topn
+from quern.operators.skew import salted_join
 from quern.plans.staging import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +32,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 _K = "regexp_replace(lower({}), '[^a-z0-9]', '', 'g')"
+_RECORD = _K.format(r"regexp_replace(regexp_replace(trim(source_sample_id, E' \t\r\n'), '^(?s:.*)/', ''), '\.(jpe?g|png|tif|webp)$', '', 'i')")
 _SCORES = """scores AS (SELECT image_id, laplacian_variance AS score FROM (SELECT *, row_number() OVER (PARTITION BY image_id
   ORDER BY measured_at DESC NULLS LAST, measurement_id DESC) rn FROM sharpness
   WHERE image_id IS NOT NULL AND NOT isnan(laplacian_variance) AND laplacian_variance >= 0 AND laplacian_variance < 'infinity'::DOUBLE) WHERE rn = 1)"""
@@ -82,3 +84,41 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 @query(_CUT + "SELECT source, keep_fraction, n, k, cutoff, (SELECT count(*) FROM images i WHERE i.source = cut.source AND i.score >= cut.cutoff) AS kept FROM cut")
 def p6_cutoffs(spark: SparkSession, d: str) -> DataFrame:
     return _p6(spark, d)[1].select("source", "keep_fraction", "n", "k", "cutoff", "kept")
+
+
+def _p2(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    own = F.concat(F.lit("#"), F.col("image_id").cast("string"))
+    source = K("source_dataset")
+    tie = F.concat(source, F.lit("|"), record_name("source_sample_id"))
+    rows = table(spark, d, "aif_images").select("image_id", F.coalesce(K("scene_id"), own).alias("node"), tie.alias("tie"), source.alias("label"))
+    rows = stage(rows, "images")
+    targets = [(r["side"], r["fraction"]) for r in table(spark, d, "split_targets").collect()]
+    return rows, *splits.group_split(rows, targets)
+
+
+_TIES = f"""WITH RECURSIVE e AS (SELECT DISTINCT {_K.format('source_dataset')} || '|' || {_RECORD} AS r,
+  {_K.format('scene_id')} AS s FROM aif_images WHERE scene_id IS NOT NULL AND source_dataset IS NOT NULL AND source_sample_id IS NOT NULL),
+t AS (SELECT DISTINCT a.s AS x, b.s AS y FROM e a JOIN e b USING (r) WHERE a.s <> b.s),
+reach AS (SELECT x, y FROM t UNION SELECT reach.x, t.y FROM reach JOIN t ON reach.y = t.x)
+"""
+
+
+@query(_TIES + "SELECT x AS scene_a, y AS scene_b FROM reach WHERE x < y")
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    tied = _p2(spark, d)[2].where(~F.col("node").startswith("#"))
+    a, b = tied.withColumnRenamed("node", "scene_a"), tied.withColumnRenamed("node", "scene_b")
+    return salted_join(stage(a, "tied"), b, ["component", "side"]).where("scene_a < scene_b").select("scene_a", "scene_b")
+
+
+@query()
+def p2_split(spark: SparkSession, d: str) -> DataFrame:
+    rows, nodes, _ = _p2(spark, d)
+    return salted_join(rows, nodes, ["node"]).select("image_id", "component", "side")
+
+
+@query()
+def p2_shares(spark: SparkSession, d: str) -> DataFrame:
+    got = p2_split(spark, d).groupBy("side").agg(F.count(F.lit(1)).alias("images"), F.countDistinct("component").alias("components"))
+    all_of = got.agg(F.sum("images").alias("total"))
+    wanted = table(spark, d, "split_targets")
+    return wanted.join(got, "side", "left").join(F.broadcast(all_of)).select("side", "fraction", "images", "components", (F.col("images") / F.col("total")).alias("share"))
