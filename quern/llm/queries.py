@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.keys import K, record_name
-from quern.llm import cutoff, scores, splits, topn
+from quern.llm import cutoff, leaks, scores, splits, topn
 from quern.operators.skew import salted_join
-from quern.plans.staging import stage
+from quern.plans.staging import broadcast_checked, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -122,3 +122,33 @@ def p2_shares(spark: SparkSession, d: str) -> DataFrame:
     all_of = got.agg(F.sum("images").alias("total"))
     wanted = table(spark, d, "split_targets")
     return wanted.join(got, "side", "left").join(F.broadcast(all_of)).select("side", "fraction", "images", "components", (F.col("images") / F.col("total")).alias("share"))
+
+
+def _p4_rows(spark: SparkSession, d: str) -> DataFrame:
+    form = r"\A[^#]+#([^\[\]]+)\[[0-9]+\]\.(?s:.+)\z"
+    ref = F.col("aif_ref")
+    split = F.when(F.coalesce(ref.rlike(form), F.lit(False)), F.regexp_extract(ref, form, 1)).otherwise(F.col("source_split"))
+    names = table(spark, d, "split_names").where("spelling is not null and side is not null").groupBy("spelling").agg(F.min("side").alias("side"))
+    images = table(spark, d, "aif_images").withColumn("spelling", F.lower(F.btrim(split, F.lit(" \t\r\n"))))
+    rows = images.join(broadcast_checked(names), "spelling", "left")
+    return stage(rows.select(F.col("image_id").alias("id"), "side", "sha256", "thumb", K("source_dataset").alias("source"), K("scene_id").alias("scene")), "sides")
+
+
+@query(r"""WITH n AS (SELECT DISTINCT spelling, side FROM split_names), i AS (SELECT image_id, sha256, thumb, side FROM (SELECT *, lower(trim(CASE
+  WHEN regexp_full_match(aif_ref, '[^#]+#[^\[\]]+\[[0-9]+\]\..+') THEN regexp_extract(aif_ref, '#([^\[\]]+)\[', 1) ELSE source_split END, E' \t\r\n')) AS spelling FROM aif_images) JOIN n USING (spelling)),
+a AS (FROM i WHERE side <> 'train'), b AS (FROM i WHERE side = 'train'), pairs AS (
+SELECT a.image_id AS x, b.image_id AS y FROM a JOIN b USING (sha256)
+UNION SELECT a.image_id, b.image_id FROM a JOIN b ON abs(list_sum(a.thumb) - list_sum(b.thumb)) <= 256 AND list_sum(list_transform(list_zip(a.thumb, b.thumb), lambda z: abs(z[1] - z[2]))) <= 256)
+SELECT least(x, y) AS image_a, greatest(x, y) AS image_b FROM pairs""")
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = leaks.cross_split_pairs(_p4_rows(spark, d))
+    return pairs.select(F.least("eval_id", "train_id").alias("image_a"), F.greatest("eval_id", "train_id").alias("image_b")).distinct()
+
+
+@query()
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    rows = _p4_rows(spark, d)
+    pairs = stage(leaks.cross_split_pairs(rows), "pairs")
+    hit = pairs.groupBy("eval_id").agg(F.count(F.lit(1)).alias("partners"))
+    e = rows.where(F.col("side").isNotNull() & (F.col("side") != "train")).join(hit, F.col("id") == F.col("eval_id"), "left")
+    return e.groupBy("side", "source", "scene").agg(F.count(F.lit(1)).alias("images"), F.count("partners").alias("leaked"), F.coalesce(F.sum("partners"), F.lit(0)).alias("pairs")).where("leaked > 0")

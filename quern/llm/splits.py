@@ -96,7 +96,7 @@ def _anneal(sizes: np.ndarray, labels: np.ndarray, start: np.ndarray, want: np.n
     return best, kept
 
 
-def _search(components: DataFrame, want_share: np.ndarray, chains: int, steps: int, seed: int) -> DataFrame:
+def _search(components: DataFrame, want_share: np.ndarray, chains: int, moves: int, seed: int) -> DataFrame:
     """(component, side_no) by the best of the chains of each block; components: component, n, labels array, block, start.
 
     want_share: sides x (1 + labels), the rows each side should still get, of all blocks together; a block takes its part in
@@ -108,7 +108,7 @@ def _search(components: DataFrame, want_share: np.ndarray, chains: int, steps: i
         sizes, labels = pdf["n"].to_numpy(float), np.array(pdf["labels"].tolist(), float).reshape(len(pdf), -1)
         own = np.concatenate([[sizes.sum()], labels.sum(0)])
         want = want_share / np.maximum(want_share.sum(0), 1e-9) * own
-        cost, side = _anneal(sizes, labels, pdf["start"].to_numpy(int), want, steps, seed * 1009 + int(pdf["chain"][0]))
+        cost, side = _anneal(sizes, labels, pdf["start"].to_numpy(int), want, max(6000, moves * len(pdf)), seed * 1009 + int(pdf["chain"][0]))
         return pd.DataFrame({"block": [pdf["block"][0]], "chain": [pdf["chain"][0]], "cost": [cost], "names": [pdf["component"].tolist()], "sides": [side.tolist()]})
 
     many = components.withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(chains - 1))))
@@ -117,12 +117,13 @@ def _search(components: DataFrame, want_share: np.ndarray, chains: int, steps: i
     return best.select(F.inline(F.arrays_zip("b.names", "b.sides"))).toDF("component", "side_no")
 
 
-def split_components(components: DataFrame, targets: list[tuple[str, float]], seed: int = 17, chains: int = 3, steps: int = 3000, block: int = 2048, top_labels: int = 16) -> DataFrame:
+def split_components(components: DataFrame, targets: list[tuple[str, float]], seed: int = 17, chains: int = 2, moves: int = 6, block: int = 2048, top_labels: int = 16) -> DataFrame:
     """(component, side): a side for every component, near the wanted shares of rows in total and within each label.
 
     components: (component string, label string, n), a row for each component and label, staged. Component swap search: every
     component starts at the side its hash gives; then simulated annealing moves or exchanges whole components to lower the
-    deviation of the sides' sizes and label counts; several chains run side by side and the best is kept. Components with at
+    deviation of the sides' sizes and label counts; several chains run side by side, of ``moves`` steps for each component,
+    and the best is kept. Components with at
     least a thousandth of all rows (so at most a thousand) are searched first, together; the others in blocks of about
     ``block`` components, each aiming at its part of what the large ones left open. No task holds more than a block.
 
@@ -147,11 +148,11 @@ def split_components(components: DataFrame, targets: list[tuple[str, float]], se
     large = max(2.0, total / 1000)
     big = whole.where(F.col("n") >= large).withColumn("block", F.lit(0).cast("bigint"))
     rest = whole.where(F.col("n") < large).withColumn("block", F.pmod(F.xxhash64("component", F.lit("block")), F.lit(blocks)))
-    first = stage(_search(big, want, chains * 2, steps, seed), "large")
+    first = stage(_search(big, want, chains * 2, 2 * moves, seed), "large")
     took = first.join(big, "component").groupBy("side_no").agg(F.array(F.sum("n"), *[F.sum(F.col("labels")[i]) for i in range(len(want[0]) - 1)]).alias("x"))
     for r in took.collect():
         want[r["side_no"]] = np.maximum(want[r["side_no"]] - np.array(r["x"]), 0)
-    out = first.unionByName(_search(rest, want, chains, steps, seed))
+    out = first.unionByName(_search(rest, want, chains, moves, seed))
     return out.select("component", F.element_at(F.array(*[F.lit(x) for x in names]), F.col("side_no") + 1).alias("side"))
 
 
