@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.keys import K, record_name
-from quern.llm import cutoff, leaks, scores, splits, topn
+from quern.llm import chunking, cutoff, leaks, mixing, scores, splits, tokens, topn
 from quern.operators.skew import salted_join
 from quern.plans.staging import broadcast_checked, stage
 
@@ -152,3 +152,31 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     hit = pairs.groupBy("eval_id").agg(F.count(F.lit(1)).alias("partners"))
     e = rows.where(F.col("side").isNotNull() & (F.col("side") != "train")).join(hit, F.col("id") == F.col("eval_id"), "left")
     return e.groupBy("side", "source", "scene").agg(F.count(F.lit(1)).alias("images"), F.count("partners").alias("leaked"), F.coalesce(F.sum("partners"), F.lit(0)).alias("pairs")).where("leaked > 0")
+
+
+@query()
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode_texts(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")
+
+
+def _p9(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    coded = tokens.encode_texts(table(spark, d, "documents").select("doc_id", "source", "text"))
+    docs = stage(coded.select(F.col("doc_id").alias("id"), "source", F.size("ids").alias("n_tokens")), "sizes")
+    targets = [(r["source"], r["weight"], r["max_repeats"]) for r in table(spark, d, "mix_targets").collect()]
+    return mixing.mix_sources(docs, targets)
+
+
+@query()
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _p9(spark, d)[0].withColumnRenamed("id", "doc_id")
+
+
+@query()
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _p9(spark, d)[1]
+
+
+@query()
+def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
+    limits = [(r["limit_id"], r["max_tokens"], r["overlap_tokens"]) for r in table(spark, d, "chunk_limits").orderBy("limit_id").collect()]
+    return chunking.split_long(table(spark, d, "documents").select("doc_id", "text"), limits)
