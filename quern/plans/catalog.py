@@ -6,7 +6,7 @@ import importlib
 
 from quern.plans.registry import Query
 
-MODULES: list[str] = []
+MODULES: list[str] = ["pipeline_queries"]
 
 
 def _registries() -> list:
