@@ -146,7 +146,7 @@ def term_scales(df: DataFrame, terms: list[str], cap: float) -> DataFrame:
 def pivot_report(df: DataFrame, row: str, column: str, values: list[str], measure: str, decimals: int = 2) -> DataFrame:
     """row by column table of means as text, 'n/d' where there is none."""
     p = df.groupBy(row).pivot(column, values).agg(F.avg(measure))
-    return p.select(row, *[F.coalesce(F.format_string(f"%.{decimals}f", F.round(F.col(f"`{v}`"), decimals)), F.lit("n/d")).alias(v) for v in values])
+    return p.select(row, *[F.when(F.col(f"`{v}`").isNull(), "n/d").otherwise(F.format_string(f"%.{decimals}f", F.round(F.col(f"`{v}`"), decimals))).alias(v) for v in values])
 
 
 def singles_pairs_triples(names: DataFrame, name: str) -> DataFrame:

@@ -75,7 +75,7 @@ def merge_scalars(rows: DataFrame, scalars: DataFrame, route: str, needs: str, k
 
 def last_complete(table: DataFrame, key: str, required: list[str], order: Column) -> DataFrame:
     """A lookup table: rows with no required field null, and of repeated keys the last one."""
-    whole = table.dropna(subset=[key, *required])
+    whole = table.where(" and ".join(f"`{x}` is not null" for x in [key, *required]))  # not dropna(), which drops NaN as well
     return whole.groupBy(key).agg(F.max_by(F.struct(*[c for c in whole.columns if c != key]), order).alias("_r")).select(key, "_r.*")
 
 

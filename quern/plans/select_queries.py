@@ -299,7 +299,7 @@ def _gates() -> dict[str, F.Column]:
     }
 
 
-_NF = "({0} IS NULL OR isnan({0}) OR isinf({0}))"
+_NF = "({0} IS NULL OR CAST({0} AS VARCHAR) IN ('nan', 'inf', '-inf'))"  # as text: this is not folded by statistics that ignore NaN
 _PASS = {"ssim": f"CASE WHEN NOT coalesce(route = 'c', false) THEN true WHEN {_NF.format('calibration_ssim')} THEN false ELSE calibration_ssim >= 0.85 END",
          "retention": f"CASE WHEN {_NF.format('focus_retention_in_region')} THEN false ELSE focus_retention_in_region >= 0.3 END",
          "area_max": f"CASE WHEN {_NF.format('focus_region_area_ratio')} THEN false ELSE focus_region_area_ratio <= 0.4 END", "agreement": f"NOT {_NF.format('focus_agreement')}"}
