@@ -20,8 +20,8 @@ def stack(s: pd.Series, h: int, w: int) -> tuple[np.ndarray, np.ndarray]:
 def raster(kernel: Callable[..., dict[str, np.ndarray] | np.ndarray], h: int, w: int, kinds: str, inputs: int = 1):
     """A pandas UDF that applies a batch kernel to array columns of h*w cells, row-major.
 
-    kernel gets (n, h, w) stacks and gives an array of n (maps are flattened to array<double>), or a dict of them for a struct
-    of type ``kinds``. A row where an input is null or not of h*w cells gives null.
+    kernel gets (n, h, w) stacks and gives an array of n (maps are flattened to array<double>), or a dict of numbers for a
+    struct of doubles of type ``kinds``. A row where an input is null or not of h*w cells gives null.
     """
 
     def run(*cols: pd.Series) -> pd.Series | pd.DataFrame:
@@ -35,11 +35,12 @@ def raster(kernel: Callable[..., dict[str, np.ndarray] | np.ndarray], h: int, w:
             col = np.full(len(ok), None, object)
             if v is not None:
                 v = np.asarray(v, float)
-                col[ok] = list(v.reshape(len(v), -1)) if v.ndim > 1 else v
+                for i, x in zip(np.flatnonzero(ok), v.reshape(len(v), -1) if v.ndim > 1 else v):
+                    col[i] = x
             out[n] = col
         if not struct:
             return pd.Series(out["x"]) if "array" in kinds else pd.Series(out["x"]).astype(float)
-        return pd.DataFrame({n: c if isinstance(c[0] if len(c) else None, np.ndarray) else pd.Series(c).astype(float) for n, c in out.items()})
+        return pd.DataFrame({n: pd.Series(c).astype(float) for n, c in out.items()})
 
     if inputs == 1:
 

@@ -38,11 +38,12 @@ def box_mean(x: np.ndarray, window: int) -> np.ndarray:
     return (corner(y1, x1) - corner(y0, x1) - corner(y1, x0) + corner(y0, x0)) / np.outer(y1 - y0, x1 - x0)
 
 
-def gaussian_blur(x: np.ndarray, sigma: float = 1.5, radius: int = 5) -> np.ndarray:
-    """Separable Gaussian of the given radius, replicated edges."""
-    t = np.arange(-radius, radius + 1)
-    k = np.exp(-(t**2) / (2 * sigma**2))
-    k /= k.sum()
+def gaussian_blur(x: np.ndarray, sigma: float | np.ndarray = 1.5, radius: int = 5) -> np.ndarray:
+    """Separable Gaussian of the given radius, replicated edges; sigma is one for all images or one for each."""
+    t = np.arange(-radius, radius + 1).reshape(-1, *[1] * np.ndim(sigma))
+    k = np.exp(-(t**2) / (2 * np.asarray(sigma) ** 2))
+    k = (k / k.sum(0)).reshape(*k.shape, *[1] * (2 * np.ndim(sigma)))
+    t = t.ravel()
     rows = sum(c * shifted(x, 0, int(i)) for c, i in zip(k, t))
     return sum(c * shifted(rows, int(i), 0) for c, i in zip(k, t))
 
@@ -116,14 +117,16 @@ def dilate(mask: np.ndarray, radius: int) -> np.ndarray:
     return np.logical_or.reduce([shifted(rows, i, 0, "zero") for i in range(-radius, radius + 1)])
 
 
-def inside_outside_sharpness(x: np.ndarray, mask: np.ndarray, times: int = 3, least: int = 64) -> float | None:
-    """Laplacian energy inside over outside the mask, both eroded; None (inapplicable) where either keeps fewer than ``least`` cells."""
-    a, b = erode(mask, times), erode(~mask, times)
-    if a.sum() < least or b.sum() < least:
-        return None
+def inside_outside_sharpness(x: np.ndarray, mask: np.ndarray, times: int = 3, least: int = 64) -> np.ndarray:
+    """Mean Laplacian energy inside over outside the mask, both eroded; NaN (inapplicable) where either keeps fewer than ``least``
+    cells, infinite where there is none outside."""
     e = laplacian(x) ** 2
-    out = e[b].mean()
-    return float(e[a].mean() / out) if out > 0 else float("inf")
+    area = lambda m: m.sum(axis=(-2, -1))
+    energy = lambda m: (e * m).sum(axis=(-2, -1)) / np.maximum(area(m), 1)
+    a, b = erode(mask, times), erode(~mask, times)
+    out = energy(b)
+    ratio = np.where(out > 0, energy(a) / np.where(out > 0, out, 1), np.inf)
+    return np.where((area(a) < least) | (area(b) < least), np.nan, ratio)
 
 
 def phase_shift(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -314,44 +317,46 @@ def losses(pred: np.ndarray, target: np.ndarray, step: float = 1.0) -> dict[str,
 
 
 def radial_profile(x: np.ndarray, cy: int, cx: int) -> np.ndarray:
-    """Mean value at each whole radius from the centre, up to the nearest edge."""
-    h, w = x.shape
+    """Mean value at each whole radius from the centre, up to the nearest edge; what lies beyond counts there."""
+    h, w = x.shape[-2:]
     top = min(cy, cx, h - 1 - cy, w - 1 - cx)
     r = np.minimum(np.hypot(np.arange(h)[:, None] - cy, np.arange(w)[None, :] - cx).astype(int), top).ravel()
-    return (np.bincount(r, x.ravel(), top + 1) / np.maximum(np.bincount(r, minlength=top + 1), 1))[: top + 1]
+    rings = np.zeros((h * w, top + 1))
+    rings[np.arange(h * w), r] = 1 / np.maximum(np.bincount(r, minlength=top + 1), 1)[r]
+    return x.reshape(*x.shape[:-2], h * w) @ rings
 
 
-def blur_radius(x: np.ndarray, cy: int, cx: int, share: float = 0.95) -> float:
-    """Radius that holds ``share`` of the ring-weighted energy, scaled to the radius of a uniform disc."""
+def blur_radius(x: np.ndarray, cy: int, cx: int, share: float = 0.95) -> np.ndarray:
+    """Radius that holds ``share`` of the ring-weighted energy, scaled to the radius of a uniform disc; 0 without energy."""
     p = radial_profile(x, cy, cx)
-    e = p * 2 * np.pi * np.maximum(np.arange(len(p)), 0.5)
-    if e.sum() <= 0:
-        return 0.0
-    at = np.flatnonzero(e.cumsum() / e.sum() >= share)
-    return float(at[0] if at.size else len(p) - 1) / np.sqrt(share)
+    e = p * 2 * np.pi * np.maximum(np.arange(p.shape[-1]), 0.5)
+    total = e.sum(-1, keepdims=True)
+    over = e.cumsum(-1) >= share * np.where(total > 0, total, np.inf)
+    at = np.where(over.any(-1), over.argmax(-1), p.shape[-1] - 1)
+    return np.where(total[..., 0] > 0, at / np.sqrt(share), 0.0)
+
 
+def bracketed_search(objective, low: np.ndarray, high: np.ndarray, coarse: int = 9, steps: int = 20, growth: float = 2.0, most: float = 1e3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, value, censored) for each of n searches at once; objective maps n places to n values, to be made largest.
 
-def bracketed_search(objective, low: float, high: float, coarse: int = 9, steps: int = 20, growth: float = 2.0, most: float = 1e3) -> tuple[float, float, bool]:
-    """(x, value, censored): the maximum of objective: a coarse grid, the upper bound grown while the best lies on it, then
-    golden sections about the best; censored if the best still lies on a bound."""
+    A coarse grid; where the best lies on the upper bound, the bound grows, up to ``most``; then golden sections about the
+    best. Censored: the best grid point still lies on the upper bound.
+    """
+    low, high = low.astype(float), high.astype(float)
     while True:
         grid = np.linspace(low, high, coarse)
-        value = [objective(x) for x in grid]
-        k = int(np.argmax(value))
-        if k < coarse - 1 or high * growth > most:
+        value = np.stack([objective(x) for x in grid])
+        k = value.argmax(0)
+        grow = (k == coarse - 1) & (high * growth <= most)
+        if not grow.any():
             break
-        low, high = grid[-2], high * growth
-    a, b, ratio = grid[max(k - 1, 0)], grid[min(k + 1, coarse - 1)], (np.sqrt(5) - 1) / 2
-    c, d = b - ratio * (b - a), a + ratio * (b - a)
-    fc, fd = objective(c), objective(d)
+        low, high = np.where(grow, grid[-2], low), np.where(grow, high * growth, high)
+    at = lambda x, i: np.take_along_axis(x, np.clip(i, 0, coarse - 1)[None], 0)[0]
+    a, b, ratio = at(grid, k - 1), at(grid, k + 1), (np.sqrt(5) - 1) / 2
     for _ in range(steps):
-        if fc >= fd:
-            b, d, fd = d, c, fc
-            c = b - ratio * (b - a)
-            fc = objective(c)
-        else:
-            a, c, fc = c, d, fd
-            d = a + ratio * (b - a)
-            fd = objective(d)
-    x, best = ((c, fc), (d, fd), (float(grid[k]), value[k]))[int(np.argmax([fc, fd, value[k]]))]
-    return float(x), float(best), bool(k == coarse - 1)
+        c, d = b - ratio * (b - a), a + ratio * (b - a)
+        left = objective(c) >= objective(d)
+        a, b = np.where(left, a, c), np.where(left, d, b)
+    x = (a + b) / 2
+    f, top = objective(x), at(value, k)
+    return np.where(f >= top, x, at(grid, k)), np.maximum(f, top), k == coarse - 1
