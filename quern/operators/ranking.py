@@ -59,13 +59,17 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: Callable
     x = F.col(value)
     freq = stage(df.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))).groupBy(*keys, x.cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c")), "frequencies")
     run = prefix_sums(freq, keys, [F.col("_v").asc()], ["_c"])
-    sizes = freq.groupBy(*keys).agg(F.sum("_c").alias("n"))
-    if keys:
-        sizes = broadcast_checked(sizes)
-        met = run.join(sizes, null_safe(run, sizes, keys)).select(*[run[k] for k in keys], "_v", "cum__c", "n")
-    else:
-        met = run.join(F.broadcast(sizes)).select("_v", "cum__c", "n")
-    return met.groupBy(*keys, "n").agg(*[F.min(F.when(F.col("cum__c") > at, F.col("_v"))).alias(name) for name, at in ranks(F.col("n")).items()])
+    sizes = stage(freq.groupBy(*keys).agg(F.sum("_c").alias("n")), "sizes")
+    named = ranks(F.col("n"))
+    asked = sizes.select(*keys, "n", F.inline(F.array(*[F.struct(F.lit(k).alias("_name"), at.cast("bigint").alias("_at")) for k, at in named.items()])))
+    part = lambda at: F.floor(at * 1024 / F.col("n"))  # noqa: E731  rows and positions meet in slices of the group, then by position
+    asked = broadcast_checked(asked.select(*keys, "n", "_name", "_at", part(F.col("_at")).alias("_slice")))
+    small = broadcast_checked(sizes)
+    met = run.join(small, null_safe(run, small, keys) if keys else None).select(*[run[k] for k in keys], "_v", "_c", "cum__c", "n")
+    met = met.withColumn("_slice", F.explode(F.sequence(part(F.col("cum__c") - F.col("_c")), part(F.col("cum__c") - 1)))).drop("n")
+    hit = met.join(asked, null_safe(met, asked, [*keys, "_slice"]) & (asked["_at"] < met["cum__c"]) & (asked["_at"] >= met["cum__c"] - met["_c"]))
+    found = hit.groupBy(*[asked[k] for k in keys], "n").agg(F.map_from_entries(F.collect_set(F.struct("_name", "_v"))).alias("_m"))
+    return found.select(*keys, "n", *[F.element_at("_m", F.lit(k)).alias(k) for k in named])
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float], kind: str = "linear") -> DataFrame:

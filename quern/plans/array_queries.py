@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quern.operators import arrays, kernels
 from quern.plans.registry import Registry, table
+from quern.plans.staging import spread
 
 R = Registry()
 c = F.col
@@ -18,9 +19,8 @@ LEFT JOIN cells d ON d.image_id = c.image_id AND d.y = c.y + 1 AND d.x = c.x LEF
 
 
 def _thumbs(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "aif_images").where("thumb is not null and size(thumb) = 64").select("image_id", c("thumb").cast("array<double>").alias("thumb"))
-    cores = spark.sparkContext.defaultParallelism
-    return x.repartition(cores, "image_id") if x.rdd.getNumPartitions() < cores else x  # one small file would be one Python task
+    x = table(spark, d, "aif_images").where("thumb is not null and size(thumb) = 64")
+    return spread(x.select("image_id", c("thumb").cast("array<double>").alias("thumb")), "image_id")
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:

@@ -48,3 +48,10 @@ def broadcast_checked(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     from pyspark.sql import functions as F
 
     return F.broadcast(df) if len(df.limit(max_rows + 1).select(F.lit(1)).collect()) <= max_rows else df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df over at least as many partitions as there are cores, before work that is far dearer than its rows: one small file
+    would else be one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
