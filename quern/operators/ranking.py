@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from quern.operators.prefix import null_safe, prefix_sums
+from quern.operators.prefix import prefix_sums
 from quern.operators.skew import hot_keys
 from quern.plans.staging import broadcast_checked, stage
 
@@ -50,36 +48,35 @@ def _rows(df: DataFrame, keys: list[str], hot: list, sizes: bool = False) -> Dat
     return df.sparkSession.createDataFrame([(*[r[k] for k in keys], *([r["_n"]] if sizes else [])) for r in hot], StructType(fields))
 
 
-def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: Callable[[Column], dict[str, Column]]) -> DataFrame:
-    """keys, n and a column for each rank: the value at a position (from 0) among the group's finite values in ascending order.
+def quantile_rows(df: DataFrame, keys: list[str], value: str, qs: dict[str, float], kind: str = "linear") -> DataFrame:
+    """(keys, n, name, q, quantile): exact quantiles of each group's finite values; n is their number.
 
-    ranks(n) gives name -> position. Values are aggregated to counts, range-sorted, and counted by partition prefixes; no
-    group is held in one task. Null, NaN and infinite values don't count; a group without others isn't listed.
+    linear: between the two neighbours of (n-1)q; nearest: the value at (n-1)q rounded half to even; upper: the value at
+    floor(n q), so that q = 0.5 is the upper median. Values are aggregated to counts, range-sorted, and counted by partition
+    prefixes; the wanted positions then meet them in slices of their group. No group is held in one task. Null, NaN and
+    infinite values don't count; a group without others isn't listed.
     """
     x = F.col(value)
     freq = stage(df.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))).groupBy(*keys, x.cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c")), "frequencies")
     run = prefix_sums(freq, keys, [F.col("_v").asc()], ["_c"])
-    sizes = stage(freq.groupBy(*keys).agg(F.sum("_c").alias("n")), "sizes")
-    named = ranks(F.col("n"))
-    asked = sizes.select(*keys, "n", F.inline(F.array(*[F.struct(F.lit(k).alias("_name"), at.cast("bigint").alias("_at")) for k, at in named.items()])))
-    part = lambda at: F.floor(at * 1024 / F.col("n"))  # noqa: E731  rows and positions meet in slices of the group, then by position
-    asked = broadcast_checked(asked.select(*keys, "n", "_name", "_at", part(F.col("_at")).alias("_slice")))
-    small = broadcast_checked(sizes)
-    met = run.join(small, null_safe(run, small, keys) if keys else None).select(*[run[k] for k in keys], "_v", "_c", "cum__c", "n")
-    met = met.withColumn("_slice", F.explode(F.sequence(part(F.col("cum__c") - F.col("_c")), part(F.col("cum__c") - 1)))).drop("n")
-    hit = met.join(asked, null_safe(met, asked, [*keys, "_slice"]) & (asked["_at"] < met["cum__c"]) & (asked["_at"] >= met["cum__c"] - met["_c"]))
-    found = hit.groupBy(*[asked[k] for k in keys], "n").agg(F.map_from_entries(F.collect_set(F.struct("_name", "_v"))).alias("_m"))
-    return found.select(*keys, "n", *[F.element_at("_m", F.lit(k)).alias(k) for k in named])
+    sizes = stage(freq.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.sum("_c").alias("n")), "sizes")
+    n, q = F.col("n"), F.col("q")
+    place = {"linear": (n - 1) * q, "nearest": F.bround((n - 1) * q, 0), "upper": F.least(F.floor(n * q), n - 1).cast("double")}[kind]
+    wanted = F.inline(F.array(*[F.struct(F.lit(k).alias("name"), F.lit(float(v)).alias("q")) for k, v in qs.items()]))
+    asked = sizes.select("*", wanted).withColumn("_p", place).withColumn("_at", F.explode(F.array_distinct(F.array(F.floor("_p"), F.ceil("_p")))))
+    part = lambda at: F.floor(at * 1024 / n)
+    asked = broadcast_checked(asked.withColumn("_slice", part(F.col("_at"))))
+    small = broadcast_checked(sizes.select(*[F.col(f"_k_{k}").alias(f"_j_{k}") for k in keys], "n"))
+    same = [F.col(k).eqNullSafe(F.col(f"_j_{k}")) for k in keys]
+    met = run.join(small, same or None).select(*keys, "_v", "_c", "cum__c", F.explode(F.sequence(part(F.col("cum__c") - F.col("_c")), part(F.col("cum__c") - 1))).alias("_s"))
+    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_s") == F.col("_slice"), F.col("_at") < F.col("cum__c"), F.col("_at") >= F.col("cum__c") - F.col("_c")]
+    ends = met.join(asked, on).groupBy(*keys, "n", "name", "q", "_p").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    got = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_p") - F.floor("_p"))
+    return ends.select(*keys, "n", "name", "q", got.alias("quantile"))
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float], kind: str = "linear") -> DataFrame:
-    """keys, n and the named quantiles. linear: between the two neighbours of (n-1)q; nearest: the value at (n-1)q rounded half
-    to even; upper: the value at floor(n*q), so that q = 0.5 is the upper median."""
-    if kind == "nearest":
-        return order_statistics(df, keys, value, lambda n: {k: F.bround((n - 1) * F.lit(q), 0) for k, q in qs.items()})
-    if kind == "upper":
-        return order_statistics(df, keys, value, lambda n: {k: F.least(F.floor(n * F.lit(q)), n - 1) for k, q in qs.items()})
-    at = lambda n, q: (n - 1) * F.lit(float(q))
-    both = order_statistics(df, keys, value, lambda n: {f"_{s}_{k}": f(at(n, q)) for k, q in qs.items() for s, f in (("lo", F.floor), ("hi", F.ceil))})
-    mid = lambda k, q: F.col(f"_lo_{k}") + (F.col(f"_hi_{k}") - F.col(f"_lo_{k}")) * (at(F.col("n"), q) - F.floor(at(F.col("n"), q)))
-    return both.select(*keys, "n", *[mid(k, q).alias(k) for k, q in qs.items()])
+    """keys, n and a column for each named quantile, see quantile_rows."""
+    rows = quantile_rows(df, keys, value, qs, kind)
+    found = rows.groupBy(*keys, "n").agg(F.map_from_entries(F.collect_list(F.struct("name", "quantile"))).alias("_m"))
+    return found.select(*keys, "n", *[F.element_at("_m", F.lit(k)).alias(k) for k in qs])

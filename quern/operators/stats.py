@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.operators.contract import finite
 from quern.operators.prefix import prefix_sums
-from quern.operators.ranking import quantiles
+from quern.operators.ranking import quantile_rows, quantiles
 from quern.plans.staging import broadcast_checked, stage
 
 
@@ -25,10 +25,9 @@ def exclusion_counters(df: DataFrame, by: str, reasons: dict[str, Column], censo
 
 def quantile_function(df: DataFrame, value: str, knots: int = 101) -> DataFrame:
     """(knot, q, value) of the exact, linearly interpolated quantile function, made monotone by a running maximum."""
-    names = {f"k{i}": i / (knots - 1) for i in range(knots)}
-    row = quantiles(df, [], value, names)
-    each = row.select(F.posexplode(F.array(*[F.struct(F.lit(q).alias("q"), F.col(k).alias("value")) for k, q in names.items()])).alias("knot", "x"))
-    return each.select("knot", "x.q", F.max("x.value").over(Window.orderBy("knot")).alias("value"))
+    rows = quantile_rows(df, [], value, {f"k{i}": i / (knots - 1) for i in range(knots)})
+    each = rows.select(F.substring("name", 2, 9).cast("int").alias("knot"), "q", "quantile")
+    return each.select("knot", "q", F.max("quantile").over(Window.orderBy("knot")).alias("value"))
 
 
 def degenerate_reason(n: Column, distinct: Column, p01: Column, p99: Column, least: int = 32, ratio: float = 1.05) -> Column:
