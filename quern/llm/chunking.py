@@ -84,25 +84,27 @@ def split_long(df: DataFrame, limits: list[tuple[int, int, int]], key: str = "do
         if most is None or over is None or not 0 <= over < most:
             raise ValueError(f"limit {i}: overlap {over} of {most} tokens")
     path = f"{folder}/{tokenizer}.tiktoken"
-    coded = encode_texts(df.select(key, text), text, "ids", tokenizer, folder)
-    if limits:
-        coded = coded.where(F.size("ids") > min(most for _, most, _ in limits))
+    coded = encode_texts(df.where(F.length(text) > 0).select(key, text), text, "ids", tokenizer, folder)
     kind = df.schema[key].dataType.simpleString()
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         size = np.zeros(max(ranks(path).values()) + 1, np.int64)
         for t, i in ranks(path).items():
             size[i] = len(t)
+        names, rows = ["limit_id", key, "piece_no", "token_start", "token_end", "n_tokens", "cut", "ids", "piece_text"], []
         for pdf in it:
             for k, t, ids in zip(pdf[key], pdf[text], pdf["ids"]):
                 ids = np.asarray(ids, np.int64)
                 at, raw = np.concatenate([[0], np.cumsum(size[ids])]), t.encode()
-                levels, rows = boundary_levels(t)[at], []
+                levels = boundary_levels(t)[at]
                 for lid, most, over in limits:
                     if len(ids) > most:
                         for no, (a, b, cut) in enumerate(cut_points(levels, most, over)):
                             rows.append((lid, k, no, a, b, b - a, cut, ids[a:b], raw[at[a] : at[b]].decode(errors="replace")))
-                if rows:
-                    yield pd.DataFrame(rows, columns=["limit_id", key, "piece_no", "token_start", "token_end", "n_tokens", "cut", "ids", "piece_text"])
+                if len(rows) >= 2000:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
 
     return coded.mapInPandas(run, f"limit_id int, `{key}` {kind}, piece_no int, token_start int, token_end int, n_tokens int, cut string, ids array<int>, piece_text string")

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.plans.staging import spread
+
 FOLDER = "/opt/tokenizers"
 #: Fixed value: the pattern by which the rank files' texts are split before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -86,7 +88,7 @@ def _encode(path: str, size: int):
         for texts in it:
             yield pd.Series([[] if not t else encode(t) if len(t) <= size else [i for f in fragments(t, path, size) for i in encode(f)] for t in texts])
 
-    return F.pandas_udf(run, "array<int>")
+    return F.pandas_udf(run, "array<int>").asNondeterministic()  # else a filter on the ids would encode once more
 
 
 def encode_texts(df: DataFrame, text: str = "text", ids: str = "ids", tokenizer: str = "byte_bpe_50k", folder: str = FOLDER, size: int = 8192) -> DataFrame:
@@ -101,7 +103,7 @@ def encode_texts(df: DataFrame, text: str = "text", ids: str = "ids", tokenizer:
     named like ids is replaced. folder holds the rank file <tokenizer>.tiktoken on every executor.
     """
     path = f"{folder}/{tokenizer}.tiktoken"
-    base = df.drop(ids)
+    base = spread(df.drop(ids))
     long = F.length(text) > size
     short = base.where(F.coalesce(~long, F.lit(True))).withColumn(ids, _encode(path, size)(F.col(text)))
     keyed = base.where(long).withColumn("_sha", F.sha2(F.col(text), 256))
