@@ -48,7 +48,7 @@ def signed_coc(z: Column, focus_disparity: Column, k: Column) -> Column:
 
 
 def defocus(coc: Column, most: float = 100.0) -> Column:
-    return F.least(F.greatest(F.abs(coc) / most, F.lit(0.0)), F.lit(1.0))
+    return F.when(coc.isNotNull(), F.least(F.abs(coc) / most, F.lit(1.0)))
 
 
 def relative_error(value: Column, reference: Column) -> Column:

@@ -95,7 +95,7 @@ def coc(z: Column, focus_disparity: Column, k: Column) -> Column:
 
 def defocus(z: Column, focus_disparity: Column, k: Column, most: float = 100.0) -> Column:
     """Blur radius over ``most``, in [0, 1]."""
-    return F.transform(coc(z, focus_disparity, k), lambda c: F.least(F.abs(c) / most, F.lit(1.0)))
+    return F.transform(coc(z, focus_disparity, k), lambda c: F.when(c.isNotNull(), F.least(F.abs(c) / most, F.lit(1.0))))
 
 
 def band(c: Column, width: float) -> Column:
@@ -156,7 +156,7 @@ def depth_problem(z: Column, least_finite: float = 0.999, least_ratio: float = 1
 
 def quantise_u16(a: Column, low: Column, high: Column) -> Column:
     """Cells as 0..65535 between low and high, rounded half to even; null cells stay null, a range of zero gives zeros."""
-    return F.transform(a, lambda x: F.coalesce(F.bround(F.least(F.greatest(F.try_divide(x - low, high - low), F.lit(0.0)), F.lit(1.0)) * 65535, 0).cast("int"), F.when(x.isNotNull(), F.lit(0))))
+    return F.transform(a, lambda x: F.when(x.isNotNull(), F.bround(F.least(F.greatest(F.try_divide(x - low, high - low), F.lit(0.0)), F.lit(1.0)) * 65535, 0).cast("int")))
 
 
 def dequantise_u16(a: Column, low: Column, high: Column) -> Column:

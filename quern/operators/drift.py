@@ -14,7 +14,7 @@ UNWRAP = ("v", "kind")
 def json_objects(df: DataFrame, payload: str = "payload") -> DataFrame:
     """df with ``_v``, the payload as a variant; rows whose payload is null or isn't a JSON object are dropped."""
     v = F.try_parse_json(F.col(payload))
-    return df.withColumn("_v", v).where(F.schema_of_variant("_v").startswith("OBJECT"))
+    return df.withColumn("__v", v).where(F.schema_of_variant("__v").startswith("OBJECT"))
 
 
 def _kind(v: Column) -> Column:
@@ -33,11 +33,11 @@ def _kind(v: Column) -> Column:
 def field_values(df: DataFrame, keep: list[str], payload: str = "payload") -> DataFrame:
     """keep, field, kind and value: a row for each field of each record; value is the field's JSON text (null for JSON null),
     numbers in one spelling, so that 1 and 1.0 are equal."""
-    view = json_objects(df, payload).select(*keep, "_v")
-    each = view.lateralJoin(view.sparkSession.tvf.variant_explode(F.col("_v").outer())).select(*keep, F.col("key").alias("field"), F.col("value").alias("_x"))
-    each = each.withColumn("kind", _kind(F.col("_x")))
-    number = F.regexp_replace(F.regexp_replace(F.to_json("_x"), r"(\.[0-9]*?)0+\z", "$1"), r"\.\z", "")
-    value = F.when(F.col("kind").isNull(), F.lit(None).cast("string")).when(F.col("kind") == "number", number).otherwise(F.to_json("_x"))
+    view = json_objects(df, payload).select(*keep, "__v")
+    each = view.lateralJoin(view.sparkSession.tvf.variant_explode(F.col("__v").outer())).select(*keep, F.col("key").alias("field"), F.col("value").alias("__x"))
+    each = each.withColumn("kind", _kind(F.col("__x")))
+    number = F.regexp_replace(F.regexp_replace(F.to_json("__x"), r"(\.[0-9]*?)0+\z", "$1"), r"\.\z", "")
+    value = F.when(F.col("kind").isNull(), F.lit(None).cast("string")).when(F.col("kind") == "number", number).otherwise(F.to_json("__x"))
     return each.select(*keep, "field", "kind", value.alias("value"))
 
 
@@ -115,18 +115,18 @@ def rescue_ingest(df: DataFrame, schema: dict[str, str], promoted: dict[str, str
     A column of df named like a field is kept under "<name>_in".
     """
     wanted = {**schema, **promoted}
-    own = {c: (f"{c}_in" if c in wanted or c in ("rescued", "_v") else c) for c in df.columns if c != payload}
-    base = df.select(*[F.col(c).alias(n) for c, n in own.items()], F.col(payload).alias("_line"), F.try_parse_json(F.col(payload)).alias("_p"))
-    whole = F.schema_of_variant("_p").startswith("OBJECT")
-    base = base.withColumn("_p", F.when(whole, F.col("_p"))).withColumn("_raw", F.col("_p").cast("map<string,variant>"))
+    own = {c: (f"{c}_in" if c in wanted or c == "rescued" else c) for c in df.columns if c != payload}
+    base = df.select(*[F.col(c).alias(n) for c, n in own.items()], F.col(payload).alias("__line"), F.try_parse_json(F.col(payload)).alias("__p"))
+    whole = F.schema_of_variant("__p").startswith("OBJECT")
+    base = base.withColumn("__p", F.when(whole, F.col("__p"))).withColumn("__raw", F.col("__p").cast("map<string,variant>"))
     names = list(own.values())
 
     def at(field: str) -> Column:
-        return F.try_variant_get("_p", f'$["{field}"]', "variant")
+        return F.try_variant_get("__p", f'$["{field}"]', "variant")
 
     def get(path: str, kind: str) -> Column:
-        x = F.try_variant_get("_p", path, kind)
-        return F.when(x == F.try_variant_get("_p", path, "double"), x) if kind in ("int", "bigint") else x  # 10.5 is no int
+        x = F.try_variant_get("__p", path, kind)
+        return F.when(x == F.try_variant_get("__p", path, "double"), x) if kind in ("int", "bigint") else x  # 10.5 is no int
 
     def strict(field: str, kind: str) -> Column:
         v = at(field)
@@ -148,7 +148,7 @@ def rescue_ingest(df: DataFrame, schema: dict[str, str], promoted: dict[str, str
             taken = again(s, kind).isNotNull() & (_kind(at(s)) != "object")  # an object's other keys stay
             for e in earlier:
                 taken = taken & ~e
-            used.append(F.when(taken | (F.col("_raw").isNotNull() & at(s).isNull()) | (_kind(at(s)).isNull()), F.lit(s)))
-    left = F.map_filter("_raw", lambda k, v: ~F.array_contains(F.array_compact(F.array(*used)), k))
-    rest = F.when(F.col("_p").isNull() & F.col("_line").isNotNull(), F.to_json(F.create_map(F.lit("_line"), "_line"))).when(F.size(left) > 0, F.to_json(left))
+            used.append(F.when(taken | (F.col("__raw").isNotNull() & at(s).isNull()) | (_kind(at(s)).isNull()), F.lit(s)))
+    left = F.map_filter("__raw", lambda k, v: ~F.array_contains(F.array_compact(F.array(*used)), k))
+    rest = F.when(F.col("__p").isNull() & F.col("__line").isNotNull(), F.to_json(F.create_map(F.lit("_line"), "__line"))).when(F.size(left) > 0, F.to_json(left))
     return base.select(*names, *[c.alias(f) for f, c in typed.items()], rest.alias("rescued"))

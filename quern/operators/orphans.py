@@ -28,7 +28,7 @@ def bloom_words(parents: DataFrame, bits: int) -> DataFrame:
     set_bits = parents.select("column_name", at.alias("p")).select("column_name", F.shiftright("p", 6).alias("w"), F.expr("shiftleft(1L, int(p & 63))").alias("m"))
     zeros = parents.select("column_name").distinct().select("column_name", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bits // 64 - 1).cast("bigint"))).alias("w"), F.lit(0).cast("bigint").alias("m"))
     words = set_bits.unionByName(zeros).groupBy("column_name", "w").agg(F.bit_or("m").alias("m"))
-    return words.groupBy("column_name").agg(F.array_sort(F.collect_list(F.struct("w", "m")))["m"].alias("words"))
+    return words.groupBy("column_name").agg(F.array_sort(F.collect_list(F.struct("w", "m")))["m"].alias("__words"))
 
 
 def may_hold(key: Column, words: Column, bits: int) -> Column:
@@ -51,24 +51,25 @@ def orphan_references(refs: DataFrame, parents: DataFrame, max_bits: int = MAX_B
     decided by running counts of started and ended rows, range-sorted by key and time. With more keys than the filter can
     tell apart it lets more through; the result is the same.
 
-    Null keys are no reference. A null moment is before everything: such a reference is late, or missing. A null since is
+    Null keys are no reference. A column of refs already named ref_state is replaced. A null moment is before everything: such a reference is late, or missing. A null since is
     never reached. Repeated rows on either side count as they are; empty tables give an empty result, or all missing.
     """
     held = stage(parents.where(F.col("key").isNotNull()).groupBy("column_name", "key").agg(
-        F.min("since").alias("_first"),
-        F.min(F.when(F.col("until").isNull(), F.col("since"))).alias("_open"),
-        F.max(F.when(F.col("since").isNotNull(), F.col("until"))).alias("_end"),
+        F.min("since").alias("__first"),
+        F.min(F.when(F.col("until").isNull(), F.col("since"))).alias("__open"),
+        F.max(F.when(F.col("since").isNotNull(), F.col("until"))).alias("__end"),
     ), "facts")
     most = held.groupBy("column_name").count().agg(F.max("count")).first()[0] or 1
     bits = min(max_bits, max(1 << 12, 1 << (BITS_A_KEY * most - 1).bit_length()))
+    refs = refs.drop("ref_state")
     asked = refs.where(F.col("key").isNotNull())
-    tested = stage(asked.join(F.broadcast(bloom_words(held, bits)), "column_name", "left").withColumn("_may", F.coalesce(may_hold(F.col("key"), F.col("words"), bits), F.lit(False))).drop("words"), "tested")
-    sure = tested.where(~F.col("_may")).withColumn("ref_state", F.lit("missing"))
-    facts = salted_join(tested.where("_may"), held.withColumn("_has", F.lit(True)), ["column_name", "key"], "left")
-    started, live = F.coalesce(F.col("_first") <= F.col("at"), F.lit(False)), F.coalesce(F.col("_open") <= F.col("at"), F.lit(False))
-    open_end = F.coalesce(F.col("_end") > F.col("at"), F.lit(False))
-    state = F.when(F.col("_has").isNull(), "missing").when(live, "live").when(~started, "late").when(~open_end, "deleted").otherwise("unsure")
-    facts = stage(facts.withColumn("ref_state", state).drop("_first", "_open", "_end", "_has"), "states")
+    tested = stage(asked.join(F.broadcast(bloom_words(held, bits)), "column_name", "left").withColumn("__may", F.coalesce(may_hold(F.col("key"), F.col("__words"), bits), F.lit(False))).drop("__words"), "tested")
+    sure = tested.where(~F.col("__may")).withColumn("ref_state", F.lit("missing"))
+    facts = salted_join(tested.where("__may"), held.withColumn("__has", F.lit(True)), ["column_name", "key"], "left")
+    started, live = F.coalesce(F.col("__first") <= F.col("at"), F.lit(False)), F.coalesce(F.col("__open") <= F.col("at"), F.lit(False))
+    open_end = F.coalesce(F.col("__end") > F.col("at"), F.lit(False))
+    state = F.when(F.col("__has").isNull(), "missing").when(live, "live").when(~started, "late").when(~open_end, "deleted").otherwise("unsure")
+    facts = stage(facts.withColumn("ref_state", state).drop("__first", "__open", "__end", "__has"), "states")
     unsure = facts.where("ref_state = 'unsure'")
     keys = unsure.select("column_name", "key").distinct()
     spans = parents.where("since is not null and until is not null and until > since").join(keys, ["column_name", "key"], "left_semi")

@@ -25,11 +25,11 @@ def prefix_sums(df: DataFrame, keys: list[str], order: list[Column], sums: list[
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = stage(df.repartitionByRange(n, *keys, *order).withColumn("_part", F.spark_partition_id()), "ranged")
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = ranged.groupBy(*keys, "_part").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
-    totals = totals.select(*keys, "_part", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in sums])
-    here = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ranged = stage(df.repartitionByRange(n, *keys, *order).withColumn("__part", F.spark_partition_id()), "ranged")
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy(*keys, "__part").agg(*[F.sum(c).alias(f"__t_{c}") for c in sums])
+    totals = totals.select(*keys, "__part", *[F.coalesce(F.sum(f"__t_{c}").over(before), F.lit(0)).alias(f"__b_{c}") for c in sums])
+    here = Window.partitionBy(*keys, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.withColumns({f"cum_{c}": F.coalesce(F.sum(c).over(here), F.lit(0)) for c in sums})
-    both = local.join(totals, null_safe(local, totals, [*keys, "_part"]))
-    return both.select(*[local[c] for c in df.columns], *[(local[f"cum_{c}"] + totals[f"_b_{c}"]).alias(f"cum_{c}") for c in sums])
+    both = local.join(totals, null_safe(local, totals, [*keys, "__part"]))
+    return both.select(*[local[c] for c in df.columns], *[(local[f"cum_{c}"] + totals[f"__b_{c}"]).alias(f"cum_{c}") for c in sums])

@@ -27,25 +27,25 @@ def row_numbers(df: DataFrame, keys: list[str], order: list[Column], number: str
     if not hot:
         return plain(df)
     names = F.broadcast(_rows(df, keys, hot))
-    is_hot = [df[k].eqNullSafe(names[f"_h_{k}"]) for k in keys]
+    is_hot = [df[k].eqNullSafe(names[f"__h_{k}"]) for k in keys]
     cond = is_hot[0]
     for c in is_hot[1:]:
         cond = cond & c
-    heavy = prefix_sums(df.join(names, cond, "left_semi").withColumn("_one", F.lit(1).cast("bigint")), keys, order, ["_one"])
-    heavy = heavy.drop("_one").withColumnRenamed("cum__one", number)
+    heavy = prefix_sums(df.join(names, cond, "left_semi").withColumn("__one", F.lit(1).cast("bigint")), keys, order, ["__one"])
+    heavy = heavy.drop("__one").withColumnRenamed("cum___one", number)
     if count:
         sizes = F.broadcast(_rows(df, keys, hot, True))
-        on = heavy[keys[0]].eqNullSafe(sizes[f"_h_{keys[0]}"])
+        on = heavy[keys[0]].eqNullSafe(sizes[f"__h_{keys[0]}"])
         for k in keys[1:]:
-            on = on & heavy[k].eqNullSafe(sizes[f"_h_{k}"])
-        heavy = heavy.join(sizes, on).withColumnRenamed("_n", count).drop(*[f"_h_{k}" for k in keys])
+            on = on & heavy[k].eqNullSafe(sizes[f"__h_{k}"])
+        heavy = heavy.join(sizes, on).withColumnRenamed("__n", count).drop(*[f"__h_{k}" for k in keys])
     light = plain(df.join(names, cond, "left_anti"))
     return light.unionByName(heavy.select(*light.columns))
 
 
 def _rows(df: DataFrame, keys: list[str], hot: list, sizes: bool = False) -> DataFrame:
-    fields = [StructField(f"_h_{k}", df.schema[k].dataType) for k in keys] + ([StructField("_n", LongType())] if sizes else [])
-    return df.sparkSession.createDataFrame([(*[r[k] for k in keys], *([r["_n"]] if sizes else [])) for r in hot], StructType(fields))
+    fields = [StructField(f"__h_{k}", df.schema[k].dataType) for k in keys] + ([StructField("__n", LongType())] if sizes else [])
+    return df.sparkSession.createDataFrame([(*[r[k] for k in keys], *([r["__n"]] if sizes else [])) for r in hot], StructType(fields))
 
 
 def quantile_rows(df: DataFrame, keys: list[str], value: str, qs: dict[str, float], kind: str = "linear") -> DataFrame:

@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from quern.plans.staging import free_name
+
 
 def hot_keys(df: DataFrame, keys: list[str], hot_rows: int, max_hot: int = 512) -> DataFrame:
-    """The keys with at least max(hot_rows, rows / max_hot) rows of df, and their counts as ``_n``: never more than max_hot."""
+    """The keys with at least max(hot_rows, rows / max_hot) rows of df, and their counts as ``__n``: never more than max_hot."""
     least = max(hot_rows, -(-df.count() // max_hot))
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= least)
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", hot_rows: int = 200_000, max_hot: int = 512) -> DataFrame:
@@ -26,10 +28,11 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
         return left.join(right, keys, how)
     spark = left.sparkSession
     fields = [left.schema[k] for k in keys]
-    rows = [(*[r[k] for k in keys], max(2, -(-r["_n"] // hot_rows))) for r in hot]
-    salts = F.broadcast(spark.createDataFrame(rows, StructType([*fields, StructField("_salts", IntegerType())])))
-    one = F.coalesce(F.col("_salts"), F.lit(1))
+    salt, salts_of = free_name("_salt", left, right), free_name("_salts", left, right)
+    rows = [(*[r[k] for k in keys], max(2, -(-r["__n"] // hot_rows))) for r in hot]
+    salts = F.broadcast(spark.createDataFrame(rows, StructType([*fields, StructField(salts_of, IntegerType())])))
+    one = F.coalesce(F.col(salts_of), F.lit(1))
     spread = [F.col(f.name) for f in left.schema if "map<" not in f.dataType.simpleString()]  # not rand(): a task that runs again must salt alike
-    a = left.join(salts, keys, "left").withColumn("_salt", F.when(one == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64(*spread), one)).cast("int")).drop("_salts")
-    b = right.join(salts, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("_salts")
-    return a.join(b, [*keys, "_salt"], how).drop("_salt")
+    a = left.join(salts, keys, "left").withColumn(salt, F.when(one == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64(*spread), one)).cast("int")).drop(salts_of)
+    b = right.join(salts, keys, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), one - 1))).drop(salts_of)
+    return a.join(b, [*keys, salt], how).drop(salt)

@@ -55,3 +55,11 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     would else be one task."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
+def free_name(base: str, *dfs: DataFrame) -> str:
+    """base, with underscores before it until no column of the tables is called so."""
+    taken = {c.lower() for df in dfs for c in df.columns}
+    while base.lower() in taken:
+        base = "_" + base
+    return base
