@@ -35,5 +35,5 @@ def fraction_cutoffs(df: DataFrame, targets: DataFrame, source: str = "source",
 
 def keep_above(df: DataFrame, cutoffs: DataFrame, source: str = "source", score: str = "score") -> DataFrame:
     """The rows of df at or above their source's cutoff; rows without a score or a cutoff are not kept."""
-    c = broadcast_checked(cutoffs.select(source, "cutoff"))
-    return df.join(c, source).where(~F.isnan(score) & (F.col(score) >= F.col("cutoff"))).select(*df.columns)
+    c = broadcast_checked(cutoffs.select(source, F.col("cutoff").alias("__cutoff")))
+    return df.join(c, source).where(~F.isnan(score) & (F.col(score) >= F.col("__cutoff"))).select(*df.columns)

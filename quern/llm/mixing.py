@@ -53,7 +53,7 @@ def mix_sources(docs: DataFrame, targets: list[tuple[str, float, int]], total: f
     spark = docs.sparkSession
     wanted = {s: (float(w), int(r)) for s, w, r in targets if s is not None and w and r and w > 0 and r > 0}
     weights = sum(w for w, _ in wanted.values()) or 1.0
-    rows = docs.where(F.col("id").isNotNull() & (F.col("n_tokens") > 0) & F.col("source").isin(list(wanted)))
+    rows = docs.select("id", "source", "n_tokens").where(F.col("id").isNotNull() & (F.col("n_tokens") > 0) & F.col("source").isin(list(wanted)))
     have = {r["source"]: float(r["t"]) for r in rows.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}
     most = min((have[s] * wanted[s][1] * weights / wanted[s][0] for s in have), default=0.0)
     total = most if total is None else min(float(total), most)

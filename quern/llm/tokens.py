@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.plans.staging import spread
+from quern.plans.staging import free_name, spread
 
 FOLDER = "/opt/tokenizers"
 #: Fixed value: the pattern by which the rank files' texts are split before merging.
@@ -104,18 +104,19 @@ def encode_texts(df: DataFrame, text: str = "text", ids: str = "ids", tokenizer:
     """
     path = f"{folder}/{tokenizer}.tiktoken"
     base = spread(df.drop(ids))
+    sha = free_name("_sha", df)
     long = F.length(text) > size
     short = base.where(F.coalesce(~long, F.lit(True))).withColumn(ids, _encode(path, size)(F.col(text)))
-    keyed = base.where(long).withColumn("_sha", F.sha2(F.col(text), 256))
+    keyed = base.where(long).withColumn(sha, F.sha2(F.col(text), 256))
 
     def cut(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            for sha, t in zip(pdf["_sha"], pdf["_t"]):
+            for key, t in zip(pdf["__sha"], pdf["__t"]):
                 parts = fragments(t, path, size)
-                yield pd.DataFrame({"_sha": [sha] * len(parts), "_no": range(len(parts)), "_part": parts})
+                yield pd.DataFrame({"__sha": [key] * len(parts), "__no": range(len(parts)), "__part": parts})
 
-    texts = keyed.groupBy("_sha").agg(F.any_value(F.col(text)).alias("_t"))
-    parts = texts.mapInPandas(cut, "_sha string, _no int, _part string").repartition("_sha", "_no")
-    coded = parts.select("_sha", "_no", _encode(path, 1 << 62)(F.col("_part")).alias("_ids"))
-    whole = coded.groupBy("_sha").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_no", "_ids"))), lambda x: x["_ids"])).alias(ids))
-    return short.unionByName(keyed.join(whole, "_sha").drop("_sha"))
+    texts = keyed.groupBy(F.col(sha).alias("__sha")).agg(F.any_value(F.col(text)).alias("__t"))
+    parts = texts.mapInPandas(cut, "__sha string, __no int, __part string").repartition("__sha", "__no")
+    coded = parts.select("__sha", "__no", _encode(path, 1 << 62)(F.col("__part")).alias("__ids"))
+    whole = coded.groupBy("__sha").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("__no", "__ids"))), lambda x: x["__ids"])).alias(ids))
+    return short.unionByName(keyed.join(whole.withColumnRenamed("__sha", sha), sha).drop(sha))
