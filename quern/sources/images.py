@@ -8,9 +8,10 @@ import zlib
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
-KIND = "struct<h:int,w:int,c:int,data:array<int>,error:string>"
+KIND = T.StructType([T.StructField(n, T.IntegerType()) for n in "hwc"] + [T.StructField("data", T.ArrayType(T.IntegerType())), T.StructField("error", T.StringType())])
 
 
 def decode_png(raw: bytes) -> np.ndarray:

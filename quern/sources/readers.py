@@ -60,7 +60,7 @@ def enumerate_files(spark: SparkSession, folder: str, suffixes: list[str], measu
     """(candidates, rejected): files below folder by suffix, with size and SHA-256, and optionally measure(content).
 
     Of files with the same content the first by path is a candidate; later ones are rejected as duplicate_content with the
-    first's path, empty ones as unreadable.
+    first's path, files that measure gives null for as unreadable. Empty files aren't read at all.
     """
     pattern = "(?i)\\.(" + "|".join(s.lstrip(".") for s in suffixes) + ")$"
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).where(F.col("path").rlike(pattern))
@@ -68,7 +68,8 @@ def enumerate_files(spark: SparkSession, folder: str, suffixes: list[str], measu
     files = stage(raw.withColumns(cols).drop("content"), "files")
     w = Window.partitionBy("sha256").orderBy("path")
     seen = files.withColumn("first_path", F.first("path").over(w)).withColumn("_rn", F.row_number().over(w))
-    reason = F.when(F.col("length") == 0, "unreadable").when(F.col("_rn") > 1, "duplicate_content")
+    unread = F.lit(False) if measure is None else F.col("measure").isNull()
+    reason = F.when(unread, "unreadable").when(F.col("_rn") > 1, "duplicate_content")
     seen = seen.withColumn("reason", reason).drop("_rn")
     return seen.where("reason is null").drop("reason", "first_path"), seen.where("reason is not null")
 
