@@ -78,7 +78,7 @@ def route_weights(df: DataFrame, route: str, mass: dict[str, float]) -> DataFram
     """df with weight = mass of its route / rows of its route; rows of a route without a mass have a null weight."""
     sizes = df.groupBy(route).agg(F.count(F.lit(1)).alias("_n"))
     masses = F.create_map(*[x for r, m in mass.items() for x in (F.lit(r), F.lit(float(m)))])
-    return df.join(F.broadcast(sizes), route).withColumn("weight", F.try_element_at(masses, F.col(route)) / F.col("_n")).drop("_n")
+    return df.join(broadcast_checked(sizes), route).withColumn("weight", F.try_element_at(masses, F.col(route)) / F.col("_n")).drop("_n")
 
 
 def replay_weights(df: DataFrame, route: str, synthetic: str, fraction: float, real: dict[str, float]) -> DataFrame:

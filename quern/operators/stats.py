@@ -62,7 +62,7 @@ def stable_threshold(df: DataFrame, score: str, good: str, precision: float) ->
 def agreement(df: DataFrame, ratio: str, scene: str) -> DataFrame:
     """(level, n, within_10, within_25, within_50, median): agreement of a ratio with 1, by row and by the median of each scene."""
     rows = df.where(finite(F.col(ratio))).select(F.lit("row").alias("level"), F.col(ratio).alias("r"))
-    scenes = df.where(finite(F.col(ratio)) & F.col(scene).isNotNull()).groupBy(scene).agg(F.percentile(ratio, 0.5).alias("r")).select(F.lit("scene").alias("level"), "r")
+    scenes = quantiles(df.where(F.col(scene).isNotNull()), [scene], ratio, {"r": 0.5}).select(F.lit("scene").alias("level"), "r")
     both = stage(rows.unionByName(scenes), "ratios")
     within = [F.avg((F.abs(F.col("r") - 1) <= w / 100).cast("double")).alias(f"within_{w}") for w in (10, 25, 50)]
     return both.groupBy("level").agg(*within).join(quantiles(both, ["level"], "r", {"median": 0.5}), "level")

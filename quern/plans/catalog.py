@@ -6,7 +6,7 @@ import importlib
 
 from quern.plans.registry import Query
 
-MODULES: list[str] = ["select_queries", "relate_queries", "stats_queries", "array_queries", "pipeline_queries"]
+MODULES: list[str] = ["select_queries", "record_queries", "relate_queries", "stats_queries", "array_queries", "pipeline_queries"]
 
 
 def _registries() -> list:
