@@ -164,7 +164,7 @@ def dedup_reject(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.query("""WITH g AS (SELECT l_orderkey, max(l_linenumber) AS top, list(DISTINCT l_linenumber) AS have FROM lineitem WHERE l_linenumber >= 1 GROUP BY l_orderkey)
-SELECT l_orderkey, top, list_filter(range(1, top + 1), lambda x: NOT list_contains(have, x)) AS missing FROM g WHERE len(missing) > 0""")
+SELECT l_orderkey, top, list_filter(range(1, top + 1), lambda x: NOT list_contains(have, x))::INTEGER[] AS missing FROM g WHERE len(missing) > 0""")
 def level_gaps(spark: SparkSession, d: str) -> DataFrame:
     return select.ordinal_gaps(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey", "l_linenumber")
 

@@ -219,7 +219,7 @@ def moving_scale(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.query("""WITH r AS (SELECT l_extendedprice AS v, row_number() OVER (ORDER BY l_extendedprice DESC) AS rn, count(*) OVER () AS n, sum(l_extendedprice) OVER () AS t FROM lineitem),
-s AS (SELECT unnest([0.0001, 0.001, 0.01, 0.1]) AS top_share) SELECT top_share, CAST(greatest(floor(top_share * any_value(n)), 1) AS BIGINT) AS n_top, round(sum(v) FILTER (rn <= greatest(floor(top_share * n), 1)) / any_value(t), 9) AS carried FROM s, r GROUP BY top_share""")
+s AS (SELECT unnest([0.0001, 0.001, 0.01, 0.1])::DOUBLE AS top_share) SELECT top_share, CAST(greatest(floor(top_share * any_value(n)), 1) AS BIGINT) AS n_top, round(sum(v) FILTER (rn <= greatest(floor(top_share * n), 1)) / any_value(t), 9) AS carried FROM s, r GROUP BY top_share""")
 def concentration_curve(spark: SparkSession, d: str) -> DataFrame:
     return _r(audits.concentration(table(spark, d, "lineitem"), "l_extendedprice", [0.0001, 0.001, 0.01, 0.1]), 9, "carried")
 

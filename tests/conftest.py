@@ -21,5 +21,8 @@ def spark():
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
+    from quern.session import ship_code
+
+    ship_code(s)
     yield s
     s.stop()
