@@ -2,21 +2,38 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.tokens import FOLDER, WHITE, code_points, encode_texts, ranks
+from quern.llm.tokens import FOLDER, WHITE, code_points, encode_texts, encoder, ranks
+from quern.plans.staging import spread
 
 #: Characters that end a sentence before white space, and those that end one anywhere.
 ENDS, FULL_ENDS = [ord(c) for c in ".!?…;:"], [ord(c) for c in "。！？"]
+#: Characters of a text that is encoded by the task that cuts it; longer ones are encoded in fragments by many.
+SHORT = 8192
 LEVELS = ["hard", "char", "word", "sentence", "line", "paragraph"]
 HARD, CHAR, WORD, SENTENCE, LINE, PARAGRAPH = range(6)
 
 
+NEWLINE = [10, 13, 0x85, 0x2028, 0x2029]
+
+
+@lru_cache(maxsize=1)
+def kinds() -> np.ndarray:
+    """Flags by code point up to 0xFFFF: 1 white space, 2 line end, 4 sentence end before white space, 8 sentence end anywhere."""
+    out = np.zeros(1 << 16, np.uint8)
+    for flag, points in ((1, WHITE), (2, NEWLINE), (4, ENDS), (8, FULL_ENDS)):
+        out[points] |= flag
+    return out
+
+
 def boundary_levels(text: str) -> np.ndarray:
     """For each byte offset of text in UTF-8, its end included, the strongest kind of boundary there (index into LEVELS)."""
     c = code_points(text)
@@ -24,19 +41,18 @@ def boundary_levels(text: str) -> np.ndarray:
     at = np.concatenate([[0], np.cumsum(size)])
     level = np.full(len(c) + 1, CHAR)
     if len(c) > 1:
-        white, newline = np.isin(c, WHITE), np.isin(c, [10, 13, 0x85, 0x2028, 0x2029])
+        flags = kinds()[np.minimum(c, 0xFFFF)]
+        white, newline = (flags & 1) > 0, (flags & 2) > 0
         a, b = slice(None, -1), slice(1, None)
         inner = np.full(len(c) - 1, CHAR)
         inner[white[b] & ~white[a]] = WORD
-        inner[(np.isin(c[a], ENDS) & white[b]) | np.isin(c[a], FULL_ENDS)] = SENTENCE
+        inner[(((flags[a] & 4) > 0) & white[b]) | ((flags[a] & 8) > 0)] = SENTENCE
         over = newline[a] & ~newline[b]
         inner[over] = LINE
-        lines = np.zeros(len(c), int)  # line feeds in the run of line ends up to here
-        feeds = np.where(c == 10, 1, 0)
-        total = np.cumsum(feeds)
-        start = np.maximum.accumulate(np.where(~newline, total, 0))
-        lines = np.where(newline, total - start, 0)
-        inner[over & (lines[a] >= 2)] = PARAGRAPH
+        if over.any():
+            total = np.cumsum(c == 10)
+            start = np.maximum.accumulate(np.where(~newline, total, 0))
+            inner[over & ((total - start)[a] >= 2)] = PARAGRAPH  # two line feeds in the run of line ends up to here
         level[1:-1] = inner
     level[0] = level[-1] = PARAGRAPH
     out = np.full(int(at[-1]) + 1, HARD)
@@ -44,7 +60,12 @@ def boundary_levels(text: str) -> np.ndarray:
     return out
 
 
-def cut_points(levels: np.ndarray, limit: int, overlap: int) -> list[tuple[int, int, str]]:
+def boundaries(levels: np.ndarray) -> dict[int, list[int]]:
+    """Sorted places of the boundaries of each kind or a stronger one."""
+    return {k: np.flatnonzero(levels >= k).tolist() for k in (PARAGRAPH, LINE, SENTENCE, WORD, CHAR)}
+
+
+def cut_points(levels: np.ndarray, limit: int, overlap: int, sorted_at: dict[int, list[int]] | None = None) -> list[tuple[int, int, str]]:
     """(start, end, kind of its end) of each piece; levels: the boundary level before each token and after the last.
 
     The end is the last paragraph end in the second half of the window of ``limit`` tokens, else the last line end there,
@@ -52,12 +73,12 @@ def cut_points(levels: np.ndarray, limit: int, overlap: int) -> list[tuple[int,
     limit itself. The next piece starts ``overlap`` tokens before that end. Each is found by binary search.
     """
     n, start, out = len(levels) - 1, 0, []
-    sorted_at = {k: np.flatnonzero(levels >= k) for k in (PARAGRAPH, LINE, SENTENCE, WORD, CHAR)}
+    sorted_at = sorted_at or boundaries(levels)
 
     def last(kind: int, after: int, upto: int) -> int:
         x = sorted_at[kind]
-        i = np.searchsorted(x, upto, side="right") - 1
-        return int(x[i]) if i >= 0 and x[i] > after else -1
+        i = bisect_right(x, upto) - 1
+        return x[i] if i >= 0 and x[i] > after else -1
 
     while n - start > limit:
         upto, half, least = start + limit, start + max(limit // 2, overlap), start + overlap
@@ -84,22 +105,28 @@ def split_long(df: DataFrame, limits: list[tuple[int, int, int]], key: str = "do
         if most is None or over is None or not 0 <= over < most:
             raise ValueError(f"limit {i}: overlap {over} of {most} tokens")
     path = f"{folder}/{tokenizer}.tiktoken"
-    coded = encode_texts(df.where(F.length(text) > 0).select(key, text), text, "ids", tokenizer, folder)
-    kind = df.schema[key].dataType.simpleString()
+    texts = spread(df.where(F.length(text) > 0).select(key, text))
+    short = texts.where(F.length(text) <= SHORT).withColumn("ids", F.lit(None).cast("array<int>"))  # encoded where they are cut
+    coded = short.unionByName(encode_texts(texts.where(F.length(text) > SHORT), text, "ids", tokenizer, folder, SHORT))
+    kind, least = df.schema[key].dataType.simpleString(), min((most for _, most, _ in limits), default=1 << 62)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         size = np.zeros(max(ranks(path).values()) + 1, np.int64)
         for t, i in ranks(path).items():
             size[i] = len(t)
+        encode = encoder(path).encode_ordinary
         names, rows = ["limit_id", key, "piece_no", "token_start", "token_end", "n_tokens", "cut", "ids", "piece_text"], []
         for pdf in it:
             for k, t, ids in zip(pdf[key], pdf[text], pdf["ids"]):
-                ids = np.asarray(ids, np.int64)
+                ids = np.asarray(encode(t) if ids is None else ids, np.int64)
                 at, raw = np.concatenate([[0], np.cumsum(size[ids])]), t.encode()
+                if len(ids) <= least:
+                    continue
                 levels = boundary_levels(t)[at]
+                places = boundaries(levels)
                 for lid, most, over in limits:
                     if len(ids) > most:
-                        for no, (a, b, cut) in enumerate(cut_points(levels, most, over)):
+                        for no, (a, b, cut) in enumerate(cut_points(levels, most, over, places)):
                             rows.append((lid, k, no, a, b, b - a, cut, ids[a:b], raw[at[a] : at[b]].decode(errors="replace")))
                 if len(rows) >= 2000:
                     yield pd.DataFrame(rows, columns=names)
