@@ -5,7 +5,7 @@ from __future__ import annotations
 import warnings
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.plans.staging import broadcast_checked
@@ -58,13 +58,13 @@ def histogram(df: DataFrame, by: str, n: str = "n", share: str = "share") -> Dat
     return counts.where(F.col(by).isNotNull()).join(F.broadcast(total)).select(by, n, (F.col(n) / F.col("_t")).alias(share))
 
 
-def keep_calibrated(df: DataFrame, source: str, score: str, least: float, k: str, order: str, probe: int = 900) -> DataFrame:
-    """Rows with score >= least and k > 0; a source whose first ``probe`` rows have no positive score passes whole.
+def keep_calibrated(df: DataFrame, source: str, score: str, least: float, k: str) -> DataFrame:
+    """Rows with score >= least and k > 0; a source without any positive score passes whole. NaN is no measurement.
 
     A source that loses all its rows is an error for the caller to raise; here it is simply absent.
     """
-    seen = df.withColumn("_rn", F.row_number().over(Window.partitionBy(source).orderBy(order))).where(F.col("_rn") <= probe)
-    measured = seen.groupBy(source).agg(F.coalesce(F.bool_or(F.col(score) > 0), F.lit(False)).alias("_measured"))
+    positive_score = (F.col(score) > 0) & ~F.isnan(score)
+    measured = df.groupBy(source).agg(F.coalesce(F.bool_or(positive_score), F.lit(False)).alias("_measured"))
     met = df.join(broadcast_checked(measured), source)
     good = F.coalesce((F.col(score) >= least) & ~F.isnan(score) & (F.col(k) > 0), F.lit(False))
     return met.where(~F.col("_measured") | good).select(*df.columns)

@@ -281,7 +281,7 @@ m AS (SELECT source_dataset, coalesce(bool_or(calibration_ssim > 0), false) AS m
 SELECT row_id FROM manifest JOIN m USING (source_dataset) WHERE NOT measured OR coalesce(calibration_ssim >= 0.9 AND NOT isnan(calibration_ssim) AND k_value > 0, false)""")
 def keep_calibrated(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "manifest").where("source_dataset is not null").select("row_id", "source_dataset", "calibration_ssim", "k_value")
-    return contract.keep_calibrated(m, "source_dataset", "calibration_ssim", 0.9, "k_value", "row_id").select("row_id")
+    return contract.keep_calibrated(m, "source_dataset", "calibration_ssim", 0.9, "k_value").select("row_id")
 
 
 @R.query("""SELECT depth_backend, count(*) AS n FROM manifest WHERE depth_backend IS NOT NULL AND depth_backend NOT IN ('depth_pro', 'metric_v2') GROUP BY 1""")

@@ -225,3 +225,11 @@ def test_profile_of_small_loads(spark):
     prev = spark.createDataFrame([(3, 1), (2, 1)], "load int, prev_load int")
     ks = {r["load"]: r["ks"] for r in quality.ks_distances(freq, prev).collect()}
     assert abs(ks[3] - 2 / 3) < 1e-12 and ks.get(2) is None
+
+
+def test_keep_calibrated_decides_over_all_rows(spark):
+    late = [("late", i, None if i % 2 else 0.0, 1.0) for i in range(2500)] + [("late", 2500, 0.95, 2.0), ("late", 2501, 0.95, 0.0), ("late", 2502, 0.5, 2.0)]
+    never = [("never", 3000, None, 1.0), ("never", 3001, 0.0, 0.0), ("never", 3002, -1.0, 1.0), ("never", 3003, math.nan, 1.0)]
+    df = spark.createDataFrame(late + never, "s string, i int, score double, k double")
+    got = contract.keep_calibrated(df, "s", "score", 0.9, "k")
+    assert got.columns == df.columns and sorted(r["i"] for r in got.collect()) == [2500, 3000, 3001, 3002, 3003]
