@@ -9,6 +9,11 @@ from quern.plans.staging import stage
 
 #: Keys under which an object may hold the value that a scalar field once had.
 UNWRAP = ("v", "kind")
+#: Type of a promoted field that no scalar type holds: a string column of JSON texts.
+JSON = "json"
+#: Texts of strings that a double gives back as the same number (at most 15 digits), and of whole numbers that it may not.
+_NUMERIC = r'\A(?="?-?[0-9.]{1,16}"?\z)"?-?(0|[1-9][0-9]{0,14})(\.[0-9]+)?"?\z'
+_LONG = r"\A-?[0-9]{16,}\z"
 
 
 def json_objects(df: DataFrame, payload: str = "payload") -> DataFrame:
@@ -82,13 +87,21 @@ def schema_changes(df: DataFrame, group: str = "release_name", order: str = "seq
 
 def approve_fields(df: DataFrame, schema: dict[str, str], group: str = "release_name", order: str = "seq_no", file: str = "file_id", payload: str = "payload", max_fields: int = 500) -> tuple[dict[str, str], dict[str, str]]:
     """(promoted, aliases) for rescue_ingest, from the data: other names of a schema field, as found by renames over any number
-    of files, are its aliases; other fields whose values are of one scalar type throughout are promoted with that type.
+    of files, are its aliases; all other fields are promoted: with a scalar type if it holds all their values, those that came as
+    strings among them, else as JSON.
 
     Only names and types reach the driver; beyond max_fields names (the most frequent are taken) fields stay rescued.
     """
     *_, shared = _presence(df, group, order, file, payload)
-    known = field_values(df.select(payload), [], payload).groupBy("field").agg(F.collect_set("kind").alias("kinds"), F.count(F.lit(1)).alias("n"))
-    fields = {r["field"]: r["kinds"] for r in known.orderBy(F.desc("n"), "field").limit(max_fields).collect()}
+    is_text = F.col("kind") == "string"
+    fits = {
+        "string": is_text,
+        "double": F.when(is_text, F.col("value").rlike(_NUMERIC)).otherwise((F.col("kind") == "number") & ~F.col("value").rlike(_LONG)),
+        "boolean": F.when(is_text, F.col("value").isin('"true"', '"false"')).otherwise(F.col("kind") == "boolean"),
+    }
+    types = [F.when(F.bool_and(ok), kind) for kind, ok in fits.items()]  # a field of strings only is a string, whatever they look like
+    known = field_values(df.select(payload), [], payload).groupBy("field").agg(F.coalesce(*types, F.lit(JSON)).alias("type"), F.count(F.lit(1)).alias("n"))
+    fields = {r["field"]: r["type"] for r in known.orderBy(F.desc("n"), "field").limit(max_fields).collect()}
     pairs = [(r["field"], r["old"]) for r in shared.groupBy("field", "old").count().orderBy(F.desc("count"), "field", "old").limit(4 * max_fields).collect()]
     target = {f: f for f in schema}
     for _ in pairs:  # a name reaches its target over at most as many renames as there are
@@ -97,11 +110,19 @@ def approve_fields(df: DataFrame, schema: dict[str, str], group: str = "release_
                 if x in target and y not in target:
                     target[y] = target[x]
     aliases = {f: t for f, t in target.items() if f not in schema and f in fields}
-    scalar = {"string": "string", "number": "double", "boolean": "boolean"}
-    promoted = {f: scalar[k[0]] for f, k in fields.items() if f not in target and len(k) == 1 and k[0] in scalar}
+    promoted = {f: k for f, k in fields.items() if f not in target}
     return dict(sorted(promoted.items())), dict(sorted(aliases.items()))
 
 
+def _free(name: str, ending: str, taken: set[str]) -> str:
+    """name, or name with an ending that makes it differ from all taken names by more than case; it is taken from then on."""
+    free, n = name, 2
+    while free.lower() in taken:
+        free, n = (name if "{}" in ending else free) + ending.format(n), n + 1
+    taken.add(free.lower())
+    return free
+
+
 def rescue_ingest(df: DataFrame, schema: dict[str, str], promoted: dict[str, str], aliases: dict[str, str], payload: str = "payload") -> DataFrame:
     """The columns of df but payload, a typed column for each field of schema and of promoted, and ``rescued``.
 
@@ -112,43 +133,53 @@ def rescue_ingest(df: DataFrame, schema: dict[str, str], promoted: dict[str, str
     leaves the map; the rest stays as ``rescued``, a JSON object, null if nothing is left. Lines that aren't JSON objects give a row of
     nulls with the line as the entry "_line". No value is lost.
 
-    A column of df named like a field is kept under "<name>_in".
+    A field of promoted with the type JSON becomes a string column of its values' JSON texts, and leaves the map whole.
+
+    A column of df named like a field is kept under "<name>_in". Of fields whose names differ in case only the first keeps its
+    name, the others are called "<name>_2" and so on.
     """
     wanted = {**schema, **promoted}
-    own = {c: (f"{c}_in" if c in wanted or c == "rescued" else c) for c in df.columns if c != payload}
+    taken_names = {"rescued"}
+    names_of = {f: _free(f or "_", "_{}", taken_names) for f in wanted}
+    own = {c: _free(c, "_in", taken_names) for c in df.columns if c != payload}
     base = df.select(*[F.col(c).alias(n) for c, n in own.items()], F.col(payload).alias("__line"), F.try_parse_json(F.col(payload)).alias("__p"))
     whole = F.schema_of_variant("__p").startswith("OBJECT")
     base = base.withColumn("__p", F.when(whole, F.col("__p"))).withColumn("__raw", F.col("__p").cast("map<string,variant>"))
     names = list(own.values())
 
     def at(field: str) -> Column:
+        if not field or '"' in field:  # no path can name it
+            return F.try_element_at("__raw", F.lit(field))
         return F.try_variant_get("__p", f'$["{field}"]', "variant")
 
-    def get(path: str, kind: str) -> Column:
-        x = F.try_variant_get("__p", path, kind)
-        return F.when(x == F.try_variant_get("__p", path, "double"), x) if kind in ("int", "bigint") else x  # 10.5 is no int
+    def get(field: str, kind: str, inner: str = "") -> Column:
+        v, path = (at(field), f"${inner}") if not field or '"' in field else (F.col("__p"), f'$["{field}"]{inner}')
+        x = F.try_variant_get(v, path, kind)
+        return F.when(x == F.try_variant_get(v, path, "double"), x) if kind in ("int", "bigint") else x  # 10.5 is no int
 
     def strict(field: str, kind: str) -> Column:
         v = at(field)
         fits = {"string": _kind(v) == "string", "boolean": _kind(v) == "boolean"}.get(kind, _kind(v) == "number")
-        return F.when(fits, get(f'$["{field}"]', kind))
+        return F.when(fits, get(field, kind))
 
     def again(field: str, kind: str) -> Column:
-        inner = [F.when(_kind(at(field)) == "object", get(f'$["{field}"]["{x}"]', kind)) for x in UNWRAP]
-        return F.coalesce(F.when(_kind(at(field)).isin("string", "number", "boolean"), get(f'$["{field}"]', kind)), *inner)
+        if kind == JSON:
+            return F.when(_kind(at(field)).isNotNull(), F.to_json(at(field)))
+        inner = [F.when(_kind(at(field)) == "object", get(field, kind, f'["{x}"]')) for x in UNWRAP]
+        return F.coalesce(F.when(_kind(at(field)).isin("string", "number", "boolean"), get(field, kind)), *inner)
 
     typed, used = {}, []
     for field, kind in wanted.items():
         sources = [field, *[a for a, t in aliases.items() if t == field and a not in wanted]]
-        tries = [strict(field, kind)] if field in schema else []
+        tries = [strict(field, kind)] if field in schema and kind != JSON else []
         tries += [again(s, kind) for s in sources]
         typed[field] = F.coalesce(*tries)
         for i, s in enumerate(sources):  # the source whose value became the column's leaves the map
             earlier = [again(x, kind).isNotNull() for x in sources[:i]]
-            taken = again(s, kind).isNotNull() & (_kind(at(s)) != "object")  # an object's other keys stay
+            taken = again(s, kind).isNotNull() & (F.lit(kind == JSON) | (_kind(at(s)) != "object"))  # of an object read as a scalar the other keys stay
             for e in earlier:
                 taken = taken & ~e
             used.append(F.when(taken | (F.col("__raw").isNotNull() & at(s).isNull()) | (_kind(at(s)).isNull()), F.lit(s)))
     left = F.map_filter("__raw", lambda k, v: ~F.array_contains(F.array_compact(F.array(*used)), k))
     rest = F.when(F.col("__p").isNull() & F.col("__line").isNotNull(), F.to_json(F.create_map(F.lit("_line"), "__line"))).when(F.size(left) > 0, F.to_json(left))
-    return base.select(*names, *[c.alias(f) for f, c in typed.items()], rest.alias("rescued"))
+    return base.select(*names, *[c.alias(names_of[f]) for f, c in typed.items()], rest.alias("rescued"))

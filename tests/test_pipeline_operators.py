@@ -116,3 +116,28 @@ def test_field_values_of_nested_nulls(spark):
     got = defaultdict(tuple, {r["field"]: (r["kind"], r["value"]) for r in rows})
     assert got == {"a": (None, None), "b": ("array", "[null]"), "c": ("number", "10")}
     assert F is not None
+
+
+def test_every_field_gets_a_column(spark, tmp_path):
+    docs = [
+        {"id": "a", "notes": ["blur", None], "stray": "x", "num": 1, "flag": True, "code": "1", "big": 7, "obj": {"v": 1, "w": 2}, "Case": 1, "rescued": "r", 'q"t': 3, "nil": None},
+        {"id": "b", "notes": None, "stray": 5, "num": "2.5", "flag": "false", "code": "02", "big": "9007199254740993", "case": "z", "raw_id": "own", "lead": "007"},
+        {"id": "c", "notes": [], "stray": {"k": None}, "num": None, "flag": None, "lead": 7, 'q"t': 4, "mix": True},
+        {"id": "d", "mix": 1, "stray": "y"},
+        "oops",
+    ]
+    raw = _raw(spark, {1: ("r", 1, docs)})
+    promoted, aliases = drift.approve_fields(raw, {"id": "string"})
+    assert not aliases and set(promoted) == {f for x in docs[:4] for f in x} - {"id"}
+    assert {f: promoted[f] for f in ("num", "flag", "code", 'q"t', "Case", "case")} == {"num": "double", "flag": "boolean", "code": "string", 'q"t': "double", "Case": "double", "case": "string"}
+    assert {promoted[f] for f in ("notes", "stray", "big", "obj", "nil", "lead", "mix")} == {drift.JSON}
+    drift.rescue_ingest(raw, {"id": "string"}, promoted, aliases).write.parquet(out := str(tmp_path / "t"))
+    rows = spark.read.parquet(out).orderBy("raw_id_in").collect()
+    column = lambda name: [r[name] for r in rows[:4]]
+    assert column("notes") == ['["blur",null]', None, "[]", None] and column("stray") == ['"x"', "5", '{"k":null}', '"y"']
+    assert column("num") == [1.0, 2.5, None, None] and column("flag") == [True, False, None, None] and column("code") == ["1", "02", None, None]
+    assert column("big") == ["7", '"9007199254740993"', None, None] and column("lead") == [None, '"007"', "7", None] and column("mix") == [None, None, "true", "1"]
+    assert json.loads(rows[0]["obj"]) == {"v": 1, "w": 2} and column("nil") == [None] * 4 and column('q"t') == [3.0, None, 4.0, None]
+    assert column("Case") == [1.0, None, None, None] and column("case_2") == [None, "z", None, None]
+    assert column("rescued_2") == ["r", None, None, None] and column("raw_id") == [None, "own", None, None]
+    assert column("rescued") == [None] * 4 and json.loads(rows[4]["rescued"]) == {"_line": "oops"}
