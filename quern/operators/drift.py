@@ -90,7 +90,8 @@ def approve_fields(df: DataFrame, schema: dict[str, str], group: str = "release_
     of files, are its aliases; all other fields are promoted: with a scalar type if it holds all their values, those that came as
     strings among them, else as JSON.
 
-    Only names and types reach the driver; beyond max_fields names (the most frequent are taken) fields stay rescued.
+    Only names, their types and their renames reach the driver. More than max_fields names are an error: one table can't have a
+    column for each.
     """
     *_, shared = _presence(df, group, order, file, payload)
     is_text = F.col("kind") == "string"
@@ -101,10 +102,13 @@ def approve_fields(df: DataFrame, schema: dict[str, str], group: str = "release_
     }
     types = [F.when(F.bool_and(ok), kind) for kind, ok in fits.items()]  # a field of strings only is a string, whatever they look like
     known = field_values(df.select(payload), [], payload).groupBy("field").agg(F.coalesce(*types, F.lit(JSON)).alias("type"), F.count(F.lit(1)).alias("n"))
-    fields = {r["field"]: r["type"] for r in known.orderBy(F.desc("n"), "field").limit(max_fields).collect()}
-    pairs = [(r["field"], r["old"]) for r in shared.groupBy("field", "old").count().orderBy(F.desc("count"), "field", "old").limit(4 * max_fields).collect()]
-    target = {f: f for f in schema}
-    for _ in pairs:  # a name reaches its target over at most as many renames as there are
+    fields = {r["field"]: r["type"] for r in known.orderBy(F.desc("n"), "field").limit(max_fields + 1).collect()}
+    if len(fields) > max_fields:
+        raise ValueError(f"more than {max_fields} field names")
+    pairs = [(r["field"], r["old"]) for r in shared.groupBy("field", "old").count().orderBy(F.desc("count"), "field", "old").collect()]
+    target, before = {f: f for f in schema}, -1
+    while before < len(target):  # until no rename reaches another name
+        before = len(target)
         for a, b in pairs:
             for x, y in ((a, b), (b, a)):
                 if x in target and y not in target:

@@ -141,3 +141,12 @@ def test_every_field_gets_a_column(spark, tmp_path):
     assert column("Case") == [1.0, None, None, None] and column("case_2") == [None, "z", None, None]
     assert column("rescued_2") == ["r", None, None, None] and column("raw_id") == [None, "own", None, None]
     assert column("rescued") == [None] * 4 and json.loads(rows[4]["rescued"]) == {"_line": "oops"}
+
+
+def test_all_renames_count_and_too_many_names_are_an_error(spark):
+    old, new = [f"a{i}" for i in range(9)], [f"b{i}" for i in range(9)]
+    raw = _raw(spark, {1: ("r", 1, [dict.fromkeys(old, "x")]), 2: ("r", 2, [dict.fromkeys(new, "x")])})
+    promoted, aliases = drift.approve_fields(raw, {"a0": "string"}, max_fields=18)
+    assert not promoted and aliases == dict.fromkeys(old[1:] + new, "a0")
+    with pytest.raises(ValueError, match="more than 17"):
+        drift.approve_fields(raw, {"a0": "string"}, max_fields=17)
