@@ -72,6 +72,14 @@ def p3_profile(spark: SparkSession, d: str) -> DataFrame:
     return _p3(spark, d).select(F.col("load").alias("run_id"), "column_name", F.col("rows").alias("rows_in"), "nulls", "distincts", F.round("q_50", 9).alias("median"))
 
 
+@R.query(_P3 + """, ends AS (SELECT run_id, column_name, min(v) FILTER (NOT isnan(v)) AS least, max(v) FILTER (NOT isnan(v)) AS most FROM f GROUP BY 1, 2)
+SELECT p.run_id, p.column_name, least, most, CASE WHEN p.column_name <> 'source_sample_id' THEN outside END AS outside, CASE WHEN p.column_name = 'source_sample_id' THEN breaches END AS breaches
+FROM p LEFT JOIN ends ON ends.run_id = p.run_id AND ends.column_name = p.column_name""")
+def p3_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """The ranges and pattern of p3_profile's rows; null where a column has none."""
+    return _p3(spark, d).select(F.col("load").alias("run_id"), "column_name", "least", "most", "outside", "breaches")
+
+
 @R.query("""WITH v AS (SELECT run_id, 'calibration_ssim' AS column_name, calibration_ssim AS v FROM route_c UNION ALL SELECT run_id, 'k_values', unnest(k_values) FROM route_c_stats),
 f AS (SELECT * FROM v WHERE v IS NOT NULL AND NOT isnan(v) AND abs(v) < 'infinity'::DOUBLE), prev AS (SELECT run_id, prev_run_id FROM route_c_stats WHERE prev_run_id IS NOT NULL),
 m AS (SELECT f.run_id, column_name, v, 1 AS a, 0 AS b FROM f JOIN prev USING (run_id) UNION ALL SELECT prev.run_id, column_name, v, 0, 1 FROM f JOIN prev ON f.run_id = prev.prev_run_id),

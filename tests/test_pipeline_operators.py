@@ -150,3 +150,12 @@ def test_all_renames_count_and_too_many_names_are_an_error(spark):
     assert not promoted and aliases == dict.fromkeys(old[1:] + new, "a0")
     with pytest.raises(ValueError, match="more than 17"):
         drift.approve_fields(raw, {"a0": "string"}, max_fields=17)
+
+
+def test_profile_has_ranges_and_pattern(spark):
+    from quern.plans import catalog
+
+    rows = catalog.queries()["p3_ranges"](spark, "/root/testdata/sf0.01").collect()
+    numbers, names = [r for r in rows if r["column_name"] != "source_sample_id"], [r for r in rows if r["column_name"] == "source_sample_id"]
+    assert any(r["outside"] > 0 for r in numbers) and all(r["breaches"] is None for r in numbers) and any(r["least"] < r["most"] for r in numbers if r["least"] is not None)
+    assert any(r["breaches"] > 0 for r in names) and all(r["least"] is r["most"] is r["outside"] is None for r in names)
