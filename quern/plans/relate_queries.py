@@ -253,3 +253,8 @@ def intersect_sources(spark: SparkSession, d: str) -> DataFrame:
 @R.query("""WITH r AS (SELECT n_name FROM nation WHERE n_regionkey < 2), a AS (SELECT n_name AS c FROM r) SELECT 1 AS size, c AS config FROM a UNION ALL SELECT 2, x.c || '+' || y.c FROM a x JOIN a y ON x.c < y.c UNION ALL SELECT 3, x.c || '+' || y.c || '+' || z.c FROM a x JOIN a y ON x.c < y.c JOIN a z ON y.c < z.c""")
 def combinatorial_configs(spark: SparkSession, d: str) -> DataFrame:
     return audits.singles_pairs_triples(table(spark, d, "nation").where("n_regionkey < 2"), "n_name")
+
+
+@R.query("""WITH r AS (SELECT n_name FROM nation), a AS (SELECT n_name AS c FROM r) SELECT 1 AS size, c AS config FROM a UNION ALL SELECT 2, x.c || '+' || y.c FROM a x JOIN a y ON x.c < y.c UNION ALL SELECT 3, x.c || '+' || y.c || '+' || z.c FROM a x JOIN a y ON x.c < y.c JOIN a z ON y.c < z.c""")
+def combinatorial_configs_whole(spark: SparkSession, d: str) -> DataFrame:
+    return audits.singles_pairs_triples(table(spark, d, "nation"), "n_name")

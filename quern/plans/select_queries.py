@@ -227,6 +227,15 @@ def weighted_draws(spark: SparkSession, d: str) -> DataFrame:
     return sampling.weighted_draws(table(spark, d, "part"), "p_partkey", "p_size", 2000, "wd")
 
 
+@R.query("""WITH r AS (SELECT p_partkey, sum(p_size) OVER (ORDER BY p_partkey ROWS UNBOUNDED PRECEDING) - p_size AS lo, sum(p_size) OVER (ORDER BY p_partkey ROWS UNBOUNDED PRECEDING) AS hi FROM part WHERE p_size > 0),
+t AS (SELECT sum(p_size) AS t FROM part WHERE p_size > 0), u AS (SELECT i AS draw_no, ('0x' || substr(sha256('wd:' || i), 1, 12))::BIGINT / 281474976710656.0 * t AS x FROM range((SELECT count(*) FROM part)) r(i), t)
+SELECT draw_no, p_partkey FROM u JOIN r ON x >= lo AND x < hi""")
+def weighted_draws_whole(spark: SparkSession, d: str) -> DataFrame:
+    """As many draws as the table has rows."""
+    part = table(spark, d, "part")
+    return sampling.weighted_draws(part, "p_partkey", "p_size", part.count(), "wd")
+
+
 _RULES = {"missing_sample_id": "sample_id IS NULL OR trim(sample_id) = ''", "missing_scene_id": "scene_id IS NULL OR trim(scene_id) = ''", "missing_route": "route IS NULL OR trim(route) = ''", "missing_source_dataset": "source_dataset IS NULL OR trim(source_dataset) = ''",
           "not_positive_k_value": "k_value IS NULL OR isnan(k_value) OR isinf(k_value) OR k_value <= 0", "not_positive_focus_disparity": "focus_disparity IS NULL OR isnan(focus_disparity) OR isinf(focus_disparity) OR focus_disparity <= 0",
           "unknown_k_source": "k_source NOT IN ('eq5_ssim_sweep', 'eq3_exif', 'sampled_from_bc')", "unknown_focus_source": "focus_source NOT IN ('birefnet', 'birefnet_refined', 'retention_only', 'sampled')",

@@ -159,3 +159,11 @@ def test_profile_has_ranges_and_pattern(spark):
     numbers, names = [r for r in rows if r["column_name"] != "source_sample_id"], [r for r in rows if r["column_name"] == "source_sample_id"]
     assert any(r["outside"] > 0 for r in numbers) and all(r["breaches"] is None for r in numbers) and any(r["least"] < r["most"] for r in numbers if r["least"] is not None)
     assert any(r["breaches"] > 0 for r in names) and all(r["least"] is r["most"] is r["outside"] is None for r in names)
+
+
+def test_whole_tables_are_drawn_and_combined(spark):
+    from quern.plans import catalog
+
+    d = "/root/testdata/sf0.001"
+    assert catalog.queries()["weighted_draws_whole"](spark, d).count() == spark.read.parquet(f"{d}/part.parquet").count() == 200
+    assert catalog.queries()["combinatorial_configs_whole"](spark, d).count() == 25 + 300 + 2300
