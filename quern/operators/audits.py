@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quern.operators.contract import finite
 from quern.operators.prefix import prefix_sums
 from quern.operators.ranking import quantiles
-from quern.plans.staging import broadcast_checked, stage
+from quern.plans.staging import at_most, broadcast_checked, stage
 
 
 def concentration(df: DataFrame, value: str, shares: list[float]) -> DataFrame:
@@ -150,8 +150,8 @@ def pivot_report(df: DataFrame, row: str, column: str, values: list[str], measur
 
 
 def singles_pairs_triples(names: DataFrame, name: str) -> DataFrame:
-    """(size, config): every single, pair and triple of a small set of names, sorted within; at most 1 000 names."""
-    n = broadcast_checked(names.where(F.col(name).isNotNull()).select(F.col(name).alias("n")).distinct(), 1000)
+    """(size, config): every single, pair and triple of a small set of names, sorted within; over 1 000 names are an error."""
+    n = at_most(names.where(F.col(name).isNotNull()).select(F.col(name).alias("n")).distinct(), 1000, "names")
     a, b, c = (n.select(F.col("n").alias(k)) for k in "abc")
     two = a.join(b, F.col("b") > F.col("a"))
     three = two.join(c, F.col("c") > F.col("b"))

@@ -4,29 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from quern.operators.prefix import prefix_sums
-from quern.operators.skew import hot_keys
+from quern.operators.skew import MOST, hot_keys
 from quern.plans.staging import broadcast_checked, stage
 
 
 def row_numbers(df: DataFrame, keys: list[str], order: list[Column], number: str = "rn", count: str | None = None, hot_rows: int = 2_000_000) -> DataFrame:
     """df with the position from 1 of each row in its group, and the group's rows as ``count`` if that is named.
 
-    Groups of fewer than hot_rows rows go through a window; hot ones (at most 512, counted exactly) through range-sorted
-    partitions and their prefix counts, so that none is sorted in one task. Null keys form a group. End the order in a
-    unique column: equal rows get their numbers in an open order.
+    Groups of fewer than hot_rows rows go through a window; hot ones (counted exactly) through range-sorted partitions and
+    their prefix counts, so that none is sorted in one task; without keys all rows are one group, and hot. Null keys form a
+    group. End the order in a unique column: equal rows get their numbers in an open order.
     """
-    hot = hot_keys(df, keys, hot_rows).collect() if keys else []
+    if not keys:
+        rows = prefix_sums(df.withColumn("__one", F.lit(1).cast("bigint")), [], order, ["__one"]).drop("__one").withColumnRenamed("cum___one", number)
+        return rows.withColumn(count, F.lit(df.count())) if count else rows
+    hot, many = hot_keys(df, keys, hot_rows)
 
     def plain(x: DataFrame) -> DataFrame:
         out = x.withColumn(number, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
         return out.withColumn(count, F.count(F.lit(1)).over(Window.partitionBy(*keys))) if count else out
 
-    if not hot:
+    if not many:
         return plain(df)
-    names = F.broadcast(_rows(df, keys, hot))
+    named = [F.col(k).alias(f"__h_{k}") for k in keys]
+    names, sizes = hot.select(*named), hot.select(*named, "__n")
+    if many <= MOST:
+        names, sizes = F.broadcast(names), F.broadcast(sizes)
     is_hot = [df[k].eqNullSafe(names[f"__h_{k}"]) for k in keys]
     cond = is_hot[0]
     for c in is_hot[1:]:
@@ -34,7 +39,6 @@ def row_numbers(df: DataFrame, keys: list[str], order: list[Column], number: str
     heavy = prefix_sums(df.join(names, cond, "left_semi").withColumn("__one", F.lit(1).cast("bigint")), keys, order, ["__one"])
     heavy = heavy.drop("__one").withColumnRenamed("cum___one", number)
     if count:
-        sizes = F.broadcast(_rows(df, keys, hot, True))
         on = heavy[keys[0]].eqNullSafe(sizes[f"__h_{keys[0]}"])
         for k in keys[1:]:
             on = on & heavy[k].eqNullSafe(sizes[f"__h_{k}"])
@@ -43,11 +47,6 @@ def row_numbers(df: DataFrame, keys: list[str], order: list[Column], number: str
     return light.unionByName(heavy.select(*light.columns))
 
 
-def _rows(df: DataFrame, keys: list[str], hot: list, sizes: bool = False) -> DataFrame:
-    fields = [StructField(f"__h_{k}", df.schema[k].dataType) for k in keys] + ([StructField("__n", LongType())] if sizes else [])
-    return df.sparkSession.createDataFrame([(*[r[k] for k in keys], *([r["__n"]] if sizes else [])) for r in hot], StructType(fields))
-
-
 def quantile_rows(df: DataFrame, keys: list[str], value: str, qs: dict[str, float], kind: str = "linear") -> DataFrame:
     """(keys, n, name, q, quantile): exact quantiles of each group's finite values; n is their number.
 

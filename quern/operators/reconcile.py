@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.plans.staging import broadcast_checked
+from quern.plans.staging import at_most
 
 
 def leak_audit(rows: DataFrame, split: DataFrame, scene: str = "scene_id", side: str = "split") -> DataFrame:
@@ -109,8 +109,8 @@ def overlap_shares(rows: DataFrame, key: str, probes: DataFrame, bench: str) ->
 
 
 def grid_minus_done(a: DataFrame, b: DataFrame, done: DataFrame) -> DataFrame:
-    """Every pair of a row of a and one of b that done doesn't have; both are dimension tables, b is checked before broadcast."""
-    return a.join(broadcast_checked(b, 10_000)).join(done, [c for c in done.columns], "left_anti")
+    """Every pair of a row of a and one of b that done doesn't have; over 10 000 rows of b are an error."""
+    return a.join(at_most(b, 10_000, "rows of the grid's second side")).join(done, [c for c in done.columns], "left_anti")
 
 
 def reconcile_counts(a: DataFrame, b: DataFrame, by: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators.ranking import quantiles, row_numbers
@@ -49,20 +49,21 @@ def top_groups(df: DataFrame, group: str, score: str, first: list[str], k: int)
     return df.join(broadcast_checked(best), group, "left_semi")
 
 
-def dedup_first(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key, with ``copies``, the rows of the key. Null keys are a key."""
-    w = Window.partitionBy(*key)
-    first = df.withColumn("_rn", F.row_number().over(w.orderBy(*order))).where("_rn = 1").drop("_rn")
-    sizes = df.groupBy(*key).agg(F.count(F.lit(1)).alias("copies"))
-    on = first[key[0]].eqNullSafe(sizes[key[0]])
-    for k in key[1:]:
-        on = on & first[k].eqNullSafe(sizes[k])
-    return first.join(sizes, on).select(*[first[c] for c in df.columns], "copies")
+def dedup_first(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """The row of each key with the least values of the order's columns, with ``copies``, the rows of the key. Null keys are a
+    key, a null comes before all values. One aggregate, summed before the shuffle: a key with any share of the rows is no
+    harder than another."""
+    return _one_of_each(df, key, F.min_by(F.struct(*df.columns), F.struct(*order)), F.count(F.lit(1)).alias("copies"))
 
 
-def dedup_last(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """The last row of each key; order gives the rows from last to first."""
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_rn = 1").drop("_rn")
+def dedup_last(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """The row of each key with the greatest values of the order's columns; else as dedup_first."""
+    return _one_of_each(df, key, F.max_by(F.struct(*df.columns), F.struct(*order)))
+
+
+def _one_of_each(df: DataFrame, key: list[str], row: Column, *more: Column) -> DataFrame:
+    named = [F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]
+    return df.groupBy(*named).agg(row.alias("_row"), *more).select("_row.*", *(["copies"] if more else []))
 
 
 def dedup_reject(df: DataFrame, key: str, name: str, order: list[Column]) -> DataFrame:

@@ -148,13 +148,13 @@ def topk_groups_all_rows(spark: SparkSession, d: str) -> DataFrame:
 @R.query("SELECT h, min(doc_id) AS doc_id, count(*) AS copies FROM (SELECT sha256(text) AS h, doc_id FROM documents) GROUP BY h")
 def dedup_first(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "documents").select(F.sha2("text", 256).alias("h"), "doc_id")
-    return select.dedup_first(x, ["h"], [c("doc_id").asc()])
+    return select.dedup_first(x, ["h"], ["doc_id"])
 
 
 @R.query("SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id, event_type")
 def dedup_last(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("user_id", "event_type", "event_id", "value", "ts")
-    return select.dedup_last(e, ["user_id", "event_type"], [c("ts").desc(), c("event_id").desc()]).drop("ts")
+    return select.dedup_last(e, ["user_id", "event_type"], ["ts", "event_id"]).drop("ts")
 
 
 @R.query("SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first_of FROM documents WHERE text IS NOT NULL QUALIFY doc_id <> first_of")
@@ -220,17 +220,10 @@ def replay_weights(spark: SparkSession, d: str) -> DataFrame:
     return sampling.replay_weights(m, "route", "a", 0.4, {"b": 1.0, "c": 3.0}).withColumn("weight", F.round("weight", 12))
 
 
-@R.query("""WITH r AS (SELECT p_partkey, sum(p_size) OVER (ORDER BY p_partkey ROWS UNBOUNDED PRECEDING) - p_size AS lo, sum(p_size) OVER (ORDER BY p_partkey ROWS UNBOUNDED PRECEDING) AS hi FROM part WHERE p_size > 0),
-t AS (SELECT sum(p_size) AS t FROM part WHERE p_size > 0), u AS (SELECT i AS draw_no, ('0x' || substr(sha256('wd:' || i), 1, 12))::BIGINT / 281474976710656.0 * t AS x FROM range(2000) r(i), t)
-SELECT draw_no, p_partkey FROM u JOIN r ON x >= lo AND x < hi""")
-def weighted_draws(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.weighted_draws(table(spark, d, "part"), "p_partkey", "p_size", 2000, "wd")
-
-
 @R.query("""WITH r AS (SELECT p_partkey, sum(p_size) OVER (ORDER BY p_partkey ROWS UNBOUNDED PRECEDING) - p_size AS lo, sum(p_size) OVER (ORDER BY p_partkey ROWS UNBOUNDED PRECEDING) AS hi FROM part WHERE p_size > 0),
 t AS (SELECT sum(p_size) AS t FROM part WHERE p_size > 0), u AS (SELECT i AS draw_no, ('0x' || substr(sha256('wd:' || i), 1, 12))::BIGINT / 281474976710656.0 * t AS x FROM range((SELECT count(*) FROM part)) r(i), t)
 SELECT draw_no, p_partkey FROM u JOIN r ON x >= lo AND x < hi""")
-def weighted_draws_whole(spark: SparkSession, d: str) -> DataFrame:
+def weighted_draws(spark: SparkSession, d: str) -> DataFrame:
     """As many draws as the table has rows."""
     part = table(spark, d, "part")
     return sampling.weighted_draws(part, "p_partkey", "p_size", part.count(), "wd")
@@ -285,8 +278,7 @@ def rejection_histogram(spark: SparkSession, d: str) -> DataFrame:
     return contract.histogram(_cascade(spark, d), "drop_reason").withColumn("share", F.round("share", 9))
 
 
-@R.query("""WITH p AS (SELECT *, row_number() OVER (PARTITION BY source_dataset ORDER BY row_id) AS rn FROM manifest WHERE source_dataset IS NOT NULL),
-m AS (SELECT source_dataset, coalesce(bool_or(calibration_ssim > 0), false) AS measured FROM p WHERE rn <= 900 GROUP BY 1)
+@R.query("""WITH m AS (SELECT source_dataset, coalesce(bool_or(calibration_ssim > 0 AND NOT isnan(calibration_ssim)), false) AS measured FROM manifest WHERE source_dataset IS NOT NULL GROUP BY 1)
 SELECT row_id FROM manifest JOIN m USING (source_dataset) WHERE NOT measured OR coalesce(calibration_ssim >= 0.9 AND NOT isnan(calibration_ssim) AND k_value > 0, false)""")
 def keep_calibrated(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "manifest").where("source_dataset is not null").select("row_id", "source_dataset", "calibration_ssim", "k_value")

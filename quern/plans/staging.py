@@ -1,8 +1,9 @@
 """Tables written between the steps of one operator.
 
 A step whose result is read more than once, or that must not be computed again when an executor is lost, is written as
-parquet below the folder named by ``spark.checkpoint.dir``, which all executors of a cluster share. Only where that setting
-is absent (local tests) a temporary folder is made.
+parquet below the folder named by ``spark.checkpoint.dir``, or else by ``setCheckpointDir``, which all executors of a cluster
+share. Where neither is set, a temporary folder is made if all runs on this machine (a local master); elsewhere that is an
+error, since every executor would write to a disk of its own.
 """
 
 from __future__ import annotations
@@ -12,15 +13,20 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _roots: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for staged tables of this application, below spark.checkpoint.dir where that is set."""
-    app = spark.sparkContext.applicationId
+    """The folder for staged tables of this application, below the shared folder that the session names."""
+    context = spark.sparkContext
+    app = context.applicationId
     if app not in _roots:
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="quern-")
+        base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+        if not base and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        base = base or "file://" + tempfile.mkdtemp(prefix="quern-")
         _roots[app] = f"{base.rstrip('/')}/quern-{uuid.uuid4().hex}"
         atexit.register(_remove, spark, _roots[app])
     return _roots[app]
@@ -45,11 +51,17 @@ def stage(df: DataFrame, name: str = "t") -> DataFrame:
 
 def broadcast_checked(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """df with a broadcast hint if it has at most max_rows rows, else df as it is (the planner then picks a shuffle join)."""
-    from pyspark.sql import functions as F
-
     return F.broadcast(df) if len(df.limit(max_rows + 1).select(F.lit(1)).collect()) <= max_rows else df
 
 
+def at_most(df: DataFrame, max_rows: int, what: str) -> DataFrame:
+    """df for a broadcast, or an error if it has more than max_rows rows: for products of small sets, where no other way would
+    be cheaper."""
+    if len(df.limit(max_rows + 1).select(F.lit(1)).collect()) > max_rows:
+        raise ValueError(f"more than {max_rows} {what}")
+    return F.broadcast(df)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """df over at least as many partitions as there are cores, before work that is far dearer than its rows: one small file
     would else be one task."""

@@ -165,5 +165,5 @@ def test_whole_tables_are_drawn_and_combined(spark):
     from quern.plans import catalog
 
     d = "/root/testdata/sf0.001"
-    assert catalog.queries()["weighted_draws_whole"](spark, d).count() == spark.read.parquet(f"{d}/part.parquet").count() == 200
-    assert catalog.queries()["combinatorial_configs_whole"](spark, d).count() == 25 + 300 + 2300
+    assert catalog.queries()["weighted_draws"](spark, d).count() == spark.read.parquet(f"{d}/part.parquet").count() == 200
+    assert catalog.queries()["combinatorial_configs"](spark, d).count() == 25 + 300 + 2300
