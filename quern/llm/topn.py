@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.operators.skew import hot_keys
+from quern.operators.skew import MOST, hot_keys
 from quern.plans.staging import free_name
 
 
 def top_n_per_group(df: DataFrame, group: str, order: list[Column], n: int, rank: str = "rank_no", hot_rows: int = 10_000) -> DataFrame:
     """The first n rows of each group in the given order, with their rank from 1.
 
-    Groups are counted exactly. A group of at least hot_rows rows is hot (and at most 512 are, see hot_keys): its rows are
+    Groups are counted exactly. A group of at least hot_rows rows is hot, whatever the size of the table: its rows are
     range-sorted over all partitions, each partition is one salt, the first n of every (group, salt) are kept, and these few
     are ranked again. All other groups are ranked by an ordinary window. Both results are united.
 
@@ -24,7 +24,8 @@ def top_n_per_group(df: DataFrame, group: str, order: list[Column], n: int, rank
     df = df.drop(rank)
     salt = free_name("_salt", df)
     rows = df.where(F.col(group).isNotNull())
-    hot = F.broadcast(hot_keys(rows, [group], hot_rows).select(group))
+    hot, many = hot_keys(rows, [group], hot_rows)
+    hot = F.broadcast(hot.select(group)) if many <= MOST else hot.select(group)
     light = rows.join(hot, group, "left_anti")
     heavy = rows.join(hot, group, "left_semi").repartitionByRange(F.col(group), *order).withColumn(salt, F.spark_partition_id())
 
