@@ -9,32 +9,48 @@ from pyspark.sql import functions as F
 
 from quern.operators.prefix import prefix_sums
 from quern.operators.skew import salted_join
-from quern.plans.staging import stage
+from quern.plans.staging import broadcast_checked, stage
 
-PROBES, BITS_A_KEY, MAX_BITS = 4, 12, 1 << 27
+#: A block of the filter has LANES words of 64 bits, each key one bit in every word; with so many keys a block, about one absent
+#: key in a hundred gets through.
+LANES, KEYS_A_BLOCK, MAX_BITS = 4, 20, 1 << 27
 
 
-def _positions(key: Column, bits: int) -> list[Column]:
-    """Bit numbers of key; bits is a power of two."""
-    return [F.xxhash64(key, F.lit(i)).bitwiseAND(F.lit(bits - 1)) for i in range(PROBES)]
+def _bits(key: Column) -> dict[str, Column]:
+    """The bit of key in each word of its block."""
+    h = F.xxhash64(key)
+    at = lambda i: F.shiftrightunsigned(h, 6 * i).bitwiseAND(F.lit(63)).cast("int")
+    return {f"__b{i}": F.call_function("shiftleft", F.lit(1).cast("bigint"), at(i)) for i in range(LANES)}
 
 
-def bloom_words(parents: DataFrame, bits: int) -> DataFrame:
-    """(column_name, words array<bigint>): a Bloom filter of the keys of each column; parents: (column_name, key).
+def _block(column: Column, key: Column, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(column, key, F.lit("block")), F.lit(blocks).cast("bigint"))
 
-    Of bits/64 words at most, so that its size is proven before it is broadcast.
+
+def bloom_blocks(parents: DataFrame, blocks: int) -> DataFrame:
+    """(__block, __b0 .. __b3): a blocked Bloom filter of the keys, a row for each block that holds any; parents: (column_name, key).
+
+    It is built by an aggregate over the blocks, which is summed before the shuffle; no task holds more than its blocks.
     """
-    at = F.explode(F.array(*_positions(F.col("key"), bits)))
-    set_bits = parents.select("column_name", at.alias("p")).select("column_name", F.shiftright("p", 6).alias("w"), F.expr("shiftleft(1L, int(p & 63))").alias("m"))
-    zeros = parents.select("column_name").distinct().select("column_name", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bits // 64 - 1).cast("bigint"))).alias("w"), F.lit(0).cast("bigint").alias("m"))
-    words = set_bits.unionByName(zeros).groupBy("column_name", "w").agg(F.bit_or("m").alias("m"))
-    return words.groupBy("column_name").agg(F.array_sort(F.collect_list(F.struct("w", "m")))["m"].alias("__words"))
+    rows = parents.select(_block(F.col("column_name"), F.col("key"), blocks).alias("__block"), *[c.alias(n) for n, c in _bits(F.col("key")).items()])
+    return rows.groupBy("__block").agg(*[F.bit_or(f"__b{i}").alias(f"__b{i}") for i in range(LANES)])
 
 
-def may_hold(key: Column, words: Column, bits: int) -> Column:
-    bit = lambda p: F.call_function("shiftright", words[F.shiftright(p, 6).cast("int")], p.bitwiseAND(F.lit(63)).cast("int"))
-    tests = [bit(p).bitwiseAND(F.lit(1)) == 1 for p in _positions(key, bits)]
-    return reduce(lambda a, b: a & b, tests)
+def with_filter(refs: DataFrame, parents: DataFrame, keys: int, max_bits: int) -> DataFrame:
+    """refs with ``__may``: whether the filter of the parents' keys lets (column_name, key) through; false is certain.
+
+    A filter of at most max_bits bits is broadcast: its rows are counted by the number of keys beforehand. A larger one is met
+    by its block in a shuffle join, in which blocks with very many references are salted.
+    """
+    blocks = max(1, -(-keys // KEYS_A_BLOCK))
+    filter_rows = bloom_blocks(parents, blocks)
+    asked = refs.withColumn("__block", _block(F.col("column_name"), F.col("key"), blocks))
+    if blocks * 64 * LANES <= max_bits:
+        met = asked.join(F.broadcast(filter_rows), "__block", "left")
+    else:
+        met = salted_join(stage(asked, "asked"), filter_rows, ["__block"], "left")
+    held = reduce(lambda a, b: a & b, [F.col(n).bitwiseAND(c) == c for n, c in _bits(F.col("key")).items()])
+    return met.select(*refs.columns, F.coalesce(held, F.lit(False)).alias("__may"))
 
 
 def orphan_references(refs: DataFrame, parents: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
@@ -44,12 +60,12 @@ def orphan_references(refs: DataFrame, parents: DataFrame, max_bits: int = MAX_B
     target row, live from since on, until until (null: for ever). A reference is live if some target row has since <= at and
     until null or > at. Else it is ``missing`` if no row has the key, ``deleted`` if some row has since <= at, else ``late``.
 
-    A Bloom filter of the parents' keys, of at most max_bits bits for a column (so at most max_bits / 8 bytes, broadcast),
-    proves most missing references. Only references that it lets through go into the exact join, with one row of facts for
+    A blocked Bloom filter of the parents' keys proves most missing references; its size follows the number of keys, and up
+    to max_bits bits (about 10 million keys) it is broadcast, beyond that its blocks meet the references in a shuffle join.
+    Only references that it lets through go into the exact join, with one row of facts for
     each key (its earliest start, its earliest start without end, its latest end); hot keys are salted. The facts decide all
     references but those whose key has ended rows only, some of which begin before and end after the moment: these are
-    decided by running counts of started and ended rows, range-sorted by key and time. With more keys than the filter can
-    tell apart it lets more through; the result is the same.
+    decided by running counts of started and ended rows, range-sorted by key and time.
 
     Null keys are no reference. A column of refs already named ref_state is replaced. A null moment is before everything: such a reference is late, or missing. A null since is
     never reached. Repeated rows on either side count as they are; empty tables give an empty result, or all missing.
@@ -59,11 +75,9 @@ def orphan_references(refs: DataFrame, parents: DataFrame, max_bits: int = MAX_B
         F.min(F.when(F.col("until").isNull(), F.col("since"))).alias("__open"),
         F.max(F.when(F.col("since").isNotNull(), F.col("until"))).alias("__end"),
     ), "facts")
-    most = held.groupBy("column_name").count().agg(F.max("count")).first()[0] or 1
-    bits = min(max_bits, max(1 << 12, 1 << (BITS_A_KEY * most - 1).bit_length()))
     refs = refs.drop("ref_state")
     asked = refs.where(F.col("key").isNotNull())
-    tested = stage(asked.join(F.broadcast(bloom_words(held, bits)), "column_name", "left").withColumn("__may", F.coalesce(may_hold(F.col("key"), F.col("__words"), bits), F.lit(False))).drop("__words"), "tested")
+    tested = stage(with_filter(asked, held, held.count(), max_bits), "tested")
     sure = tested.where(~F.col("__may")).withColumn("ref_state", F.lit("missing"))
     facts = salted_join(tested.where("__may"), held.withColumn("__has", F.lit(True)), ["column_name", "key"], "left")
     started, live = F.coalesce(F.col("__first") <= F.col("at"), F.lit(False)), F.coalesce(F.col("__open") <= F.col("at"), F.lit(False))
@@ -71,7 +85,7 @@ def orphan_references(refs: DataFrame, parents: DataFrame, max_bits: int = MAX_B
     state = F.when(F.col("__has").isNull(), "missing").when(live, "live").when(~started, "late").when(~open_end, "deleted").otherwise("unsure")
     facts = stage(facts.withColumn("ref_state", state).drop("__first", "__open", "__end", "__has"), "states")
     unsure = facts.where("ref_state = 'unsure'")
-    keys = unsure.select("column_name", "key").distinct()
+    keys = broadcast_checked(unsure.select("column_name", "key").distinct())
     spans = parents.where("since is not null and until is not null and until > since").join(keys, ["column_name", "key"], "left_semi")
     tick = lambda df, when, kind, d: df.select("column_name", "key", F.col(when).alias("_t"), F.lit(kind).alias("_kind"), F.lit(d).cast("bigint").alias("_d"))
     points = unsure.select("column_name", "key", F.col("at").alias("_t"), F.lit(2).alias("_kind"), F.lit(0).cast("bigint").alias("_d")).distinct()

@@ -42,6 +42,15 @@ def test_orphans_against_brute_force(spark, max_bits):
     assert {w[4] for w in want} == {"missing", "deleted", "late"}
 
 
+@pytest.mark.parametrize("max_bits", [64, 1 << 24])
+def test_filter_lets_every_key_and_few_others_through(spark, max_bits):
+    """The share is the same for a filter that is broadcast and one ten times and more over the bound."""
+    keys = spark.range(40_000).selectExpr("if(id % 2 = 0, 'p', 'q') as column_name", "concat('k', id) as key", "id")
+    other = spark.range(40_000, 80_000).selectExpr("if(id % 2 = 0, 'p', 'q') as column_name", "concat('k', id) as key", "id").unionByName(keys.selectExpr("if(column_name = 'p', 'q', 'p') as column_name", "key", "id"))
+    assert orphans.with_filter(keys, keys, 40_000, max_bits).where("__may").count() == 40_000
+    assert orphans.with_filter(other, keys, 40_000, max_bits).where("__may").count() < 0.03 * 80_000
+
+
 def test_orphans_of_empty_tables(spark):
     a = spark.createDataFrame([(1, "p", "x", T0)], "id int, column_name string, key string, at timestamp_ntz")
     b = spark.createDataFrame([], "column_name string, key string, since timestamp_ntz, until timestamp_ntz")
