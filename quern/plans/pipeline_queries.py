@@ -124,17 +124,22 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return _p5(spark, d).groupBy("column_name", F.date_trunc("month", "at").cast("timestamp_ntz").alias("month"), "ref_state").agg(F.count(F.lit(1)).alias("refs"))
 
 
-@R.query()
-def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return drift.schema_changes(table(spark, d, "release_meta_raw"))
-
-
-#: The target schema of release metadata.
+#: The target schema of release metadata, and the keys under which an object holds the value of a scalar field.
 META = {"sample_id": "string", "route": "string", "control_version": "string", "depth_layout": "string", "depth_backend": "string", "k_value": "double", "focus_disparity": "double",
         "image_h": "int", "image_w": "int", "is_k_censored": "boolean", "calibration_ssim": "double", "focus_source": "string"}
+UNWRAP = ("v", "kind")
+
+
+def _p7(spark: SparkSession, d: str) -> DataFrame:
+    return stage(drift.ingest(table(spark, d, "release_meta_raw"), META), "rescue")
+
+
+@R.query()
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return drift.table_changes(_p7(spark, d), META)
 
 
 @R.query()
 def p7_table(spark: SparkSession, d: str) -> DataFrame:
-    raw = table(spark, d, "release_meta_raw")
-    return drift.rescue_ingest(raw, META, *drift.approve_fields(raw, META))
+    rescued = _p7(spark, d)
+    return drift.replay(rescued, META, *drift.approve(rescued, META), UNWRAP)

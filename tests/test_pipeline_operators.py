@@ -100,7 +100,7 @@ def test_rescue_ingest_loses_nothing(spark):
         None,
     ]
     raw = _raw(spark, {1: ("r", 1, docs)})
-    df = drift.rescue_ingest(raw, {"k_value": "double", "n": "int", "flag": "boolean", "name": "string"}, {"size": "double"}, {"nick": "name"})
+    df = drift.rescue_ingest(raw, {"k_value": "double", "n": "int", "flag": "boolean", "name": "string"}, {"size": "double"}, {"nick": "name"}, unwrap=("v", "kind"))
     assert "k_value_in" in df.columns and "rescued_in" in df.columns
     rows = df.orderBy("raw_id").collect()
     assert [r["k_value"] for r in rows] == [1.5, 2.5, 4.0, None, None]
@@ -121,7 +121,7 @@ def test_aliases_come_from_renames(spark):
 
 
 def test_field_values_of_nested_nulls(spark):
-    rows = drift.field_values(_raw(spark, {1: ("r", 1, [{"a": None, "b": [None], "c": 10}])}), ["file_id"]).collect()
+    rows = drift.field_values(drift.ingest(_raw(spark, {1: ("r", 1, [{"a": None, "b": [None], "c": 10}])}), {}), {}, ["file_id"]).collect()
     got = defaultdict(tuple, {r["field"]: (r["kind"], r["value"]) for r in rows})
     assert got == {"a": (None, None), "b": ("array", "[null]"), "c": ("number", "10")}
     assert F is not None
