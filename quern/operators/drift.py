@@ -15,14 +15,14 @@ _NUMBER, _LONG = r"\A-?(0|[1-9][0-9]{0,14})(\.[0-9]{1,15})?\z", r"\A-?[0-9]{16,}
 _ODD = r"[0-9]{36}|[0-9][eE][+-]?[0-9]{3}"
 
 
-def _texts(json: Column) -> Column:
-    """The fields of a JSON object as a map of name -> JSON text; null if json isn't an object."""
-    v = F.try_parse_json(json)
-    fields = F.when(F.schema_of_variant(v).startswith("OBJECT"), v).cast("map<string,variant>")
+def _with_texts(df: DataFrame, json: str, name: str) -> DataFrame:
+    """df with the fields of a JSON object as a map of field -> JSON text; null if json isn't an object."""
     plain = lambda k, x: F.to_json(x)
     size = lambda x: F.try_variant_get(x, "$", "double")
     odd = lambda k, x: F.when(F.schema_of_variant(x) != "DOUBLE", F.to_json(x)).when(size(x) == float("inf"), "1e999").when(size(x) == float("-inf"), "-1e999").otherwise(F.to_json(x))
-    return F.when(json.rlike(_ODD), F.transform_values(fields, odd)).otherwise(F.transform_values(fields, plain))
+    parsed = df.withColumn(name, F.try_parse_json(F.col(json)))
+    parsed = parsed.withColumn(name, F.when(F.schema_of_variant(name).startswith("OBJECT"), F.col(name)).cast("map<string,variant>"))
+    return parsed.withColumn(name, F.when(F.col(json).rlike(_ODD), F.transform_values(name, odd)).otherwise(F.transform_values(name, plain)))
 
 
 def _object(fields: Column) -> Column:
@@ -103,9 +103,9 @@ def ingest(df: DataFrame, schema: dict[str, str], payload: str = "payload") -> D
     """
     fields, own = _names(list(schema), [c for c in df.columns if c != payload])
     base = spread(df.select(*[F.col(c).alias(n) for c, n in own.items()], F.col(payload).alias("__line")))
-    base = base.withColumn("__m", _texts(F.col("__line")))
-    typed = {f: _strict(F.try_element_at("__m", F.lit(f)), k) for f, k in schema.items()}
-    base = base.select("*", *[c.alias(f"__t{i}") for i, c in enumerate(typed.values())])
+    base = _with_texts(base, "__line", "__m")
+    base = base.select("*", *[F.try_element_at("__m", F.lit(f)).alias(f"__x{i}") for i, f in enumerate(schema)])
+    base = base.select("*", *[_strict(F.col(f"__x{i}"), k).alias(f"__t{i}") for i, k in enumerate(schema.values())])
     held = F.array_compact(F.array(F.lit(None).cast("string"), *[F.when(F.col(f"__t{i}").isNotNull(), F.lit(f)) for i, f in enumerate(schema)]))
     left = F.map_filter("__m", lambda k, v: ~F.array_contains(held, k))
     line = F.when(F.col("__m").isNull() | F.col("__line").rlike(_ODD), F.col("__line"))
@@ -124,20 +124,21 @@ def field_values(table: DataFrame, schema: dict[str, str], keep: list[str]) -> D
     kept = [F.when(F.col(names[f]).isNotNull(), one(f, kinds.get(k, "number"), F.col(names[f]) if k == "string" else _spelled(F.col(names[f])))) for f, k in schema.items()]
     no_entries = F.array().cast("array<struct<field:string,kind:string,value:string>>")
     text = lambda x: F.when(_kind(x) == "string", _unquoted(x)).when((_kind(x) == "number") & ~x.rlike(_LONG), _spelled(F.coalesce(x.try_cast("double").cast("string"), x))).when(x != "null", x)
-    rest = F.transform(F.map_entries(_texts(F.col("rescued"))), lambda e: F.struct(e["key"].alias("field"), _kind(e["value"]).alias("kind"), text(e["value"]).alias("value")))
+    rest = F.transform(F.map_entries("__m"), lambda e: F.struct(e["key"].alias("field"), _kind(e["value"]).alias("kind"), text(e["value"]).alias("value")))
     each = F.concat(F.array_compact(F.array(*kept)) if kept else no_entries, F.coalesce(rest, no_entries))
-    return table.select(*keep, F.explode(each).alias("__e")).select(*keep, "__e.*")
+    return _with_texts(table, "rescued", "__m").select(*keep, F.explode(each).alias("__e")).select(*keep, "__e.*")
 
 
-def _presence(table: DataFrame, schema: dict[str, str], group: str, order: str, file: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _presence(table: DataFrame, schema: dict[str, str], group: str, order: str, file: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
     """Of each file against the one before: fields come, fields gone, all fields with their types, and the pairs of a field
-    come and a field gone that share a value. table: a rescue table, staged."""
+    come and a field gone that share a value; and all distinct values. table: a rescue table, staged."""
     own = _names(list(schema), [group, order, file])[1]
-    named = table.where(F.col(own[file]).isNotNull() & F.col(own[group]).isNotNull() & F.col(own[order]).isNotNull()).withColumn("f", F.col(own[file]))
-    files = named.select("f", F.col(own[group]).alias("g"), F.col(own[order]).alias("o")).distinct()
+    named = F.col(own[file]).isNotNull() & F.col(own[group]).isNotNull() & F.col(own[order]).isNotNull()
+    table = table.withColumn("f", F.when(named, F.col(own[file])))
+    files = table.where("f is not null").select("f", F.col(own[group]).alias("g"), F.col(own[order]).alias("o")).distinct()
     links = stage(files.select("f", F.lag("f").over(Window.partitionBy("g").orderBy("o", "f")).alias("p")), "files").where("p is not null")
-    values = stage(field_values(named, schema, ["f"]).distinct(), "fields")
-    fields = stage(values.groupBy("f", "field").agg(F.array_sort(F.collect_set("kind")).alias("kinds")), "kinds")
+    values = stage(field_values(table, schema, ["f"]).distinct(), "fields")
+    fields = stage(values.where("f is not null").groupBy("f", "field").agg(F.array_sort(F.collect_set("kind")).alias("kinds")), "kinds")
     now = links.join(fields, "f")
     before = links.join(fields.select(F.col("f").alias("p"), F.col("field"), F.col("kinds").alias("old_kinds")), "p")
     both = stage(now.join(before, ["f", "p", "field"], "full"), "both")
@@ -145,7 +146,7 @@ def _presence(table: DataFrame, schema: dict[str, str], group: str, order: str,
     known = values.where("value is not null").select("f", "field", "kind", "value")
     new_values = come.join(known, ["f", "field"]).distinct()
     old_values = gone.join(known.select(F.col("f").alias("p"), F.col("field").alias("old"), "kind", "value"), ["p", "old"]).distinct()
-    return come, gone, both, stage(new_values.join(old_values, ["f", "p", "kind", "value"]).select("f", "field", "old").distinct(), "shared")
+    return come, gone, both, stage(new_values.join(old_values, ["f", "p", "kind", "value"]).select("f", "field", "old").distinct(), "shared"), values
 
 
 def table_changes(table: DataFrame, schema: dict[str, str], group: str = "release_name", order: str = "seq_no", file: str = "file_id") -> DataFrame:
@@ -161,7 +162,7 @@ def table_changes(table: DataFrame, schema: dict[str, str], group: str = "releas
     The records are aggregated to distinct (file, field, type, value), and files compared by their fields and, for fields
     that came or went only, by values; no step holds a file in one task.
     """
-    come, gone, both, shared = _presence(table, schema, group, order, file)
+    come, gone, both, shared, _ = _presence(table, schema, group, order, file)
     renamed = shared.select("f", "field").distinct().withColumn("change_kind", F.lit("renamed"))
     added = come.join(shared, ["f", "field"], "left_anti").select("f", "field", F.lit("added").alias("change_kind"))
     removed = gone.join(shared, ["f", "old"], "left_anti").select("f", F.col("old").alias("field"), F.lit("removed").alias("change_kind"))
@@ -183,7 +184,7 @@ def approve(table: DataFrame, schema: dict[str, str], group: str = "release_name
     Only names, their types and their renames reach the driver. More than max_fields names are an error: one table can't have a
     column for each.
     """
-    *_, shared = _presence(table, schema, group, order, file)
+    *_, shared, values = _presence(table, schema, group, order, file)
     is_text = F.col("kind") == "string"
     fits = {
         "string": is_text,
@@ -191,7 +192,7 @@ def approve(table: DataFrame, schema: dict[str, str], group: str = "release_name
         "boolean": F.when(is_text, F.col("value").isin("true", "false")).otherwise(F.col("kind") == "boolean"),
     }
     types = [F.when(F.bool_and(ok), kind) for kind, ok in fits.items()]  # a field of strings only is a string, whatever they look like
-    known = field_values(table, schema, []).groupBy("field").agg(F.coalesce(*types, F.lit(JSON)).alias("type"))
+    known = values.groupBy("field").agg(F.coalesce(*types, F.lit(JSON)).alias("type"))
     fields = {r["field"]: r["type"] for r in known.limit(max_fields + 1).collect()}
     if len(fields) > max_fields:
         raise ValueError(f"more than {max_fields} field names")
@@ -234,23 +235,29 @@ def replay(table: DataFrame, schema: dict[str, str], promoted: dict[str, str], a
     kinds = {s: wanted[f] for f, names in sources.items() for s in names}
     lookup = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair]) if kinds else F.create_map().cast("map<string,string>")
 
-    def scalar(text: Column, kind: Column) -> Column:
+    def inner(text: Column) -> Column:
+        held = F.coalesce(*[F.to_json(F.try_variant_get(F.try_parse_json(text), f'$["{u}"]', "variant")) for u in unwrap])
+        return F.when(F.startswith(text, F.lit("{")), F.coalesce(held, text)).otherwise(text)
+
+    def said(text: Column) -> Column:
         is_a = _kind(text)
-        said = F.when(is_a == "string", _unquoted(text)).when(is_a.isin("number", "boolean"), text)
-        number = F.when((is_a == "number") | ((is_a == "string") & said.rlike(_NUMBER)), _finite(said))
-        number = F.when(kind == "double", number).when(kind == "int", _whole(number, "int")).when(kind == "bigint", _whole(number, "bigint"))
-        true = F.when(is_a == "number", F.when(said.isin("0", "1"), said == "1")).otherwise(said.try_cast("boolean"))
-        return F.struct(F.when(kind == "string", said).when(kind == JSON, text).alias("s"), number.alias("d"), F.when(kind == "boolean", true).alias("b"))
-
-    def cell(text: Column, kind: Column) -> Column:
-        if not unwrap:
-            return scalar(text, kind)
-        inner = F.coalesce(*[F.to_json(F.try_variant_get(F.try_parse_json(text), f'$["{u}"]', "variant")) for u in unwrap])
-        return scalar(F.when((_kind(text) == "object") & (kind != JSON) & inner.isNotNull(), inner).otherwise(text), kind)
-
-    base = table.select(*[F.col(f"`{c}`").alias(f"__o{i}") for i, c in enumerate(own)], *[F.col(f"`{n}`").alias(f"__t{i}") for i, n in enumerate(before.values())], F.col("rescued_line").alias("__line"), _texts(F.col("rescued")).alias("__m"))
-    base = base.withColumn("__c", F.transform_values("__m", lambda k, v: F.when(F.array_contains(F.array(*[F.lit(s) for s in kinds] or [F.lit(None).cast("string")]), k) & (v != "null"), cell(v, F.try_element_at(lookup, k)))))
-    part = lambda s, kind: F.try_element_at("__c", F.lit(s))[{"string": "s", JSON: "s", "boolean": "b"}.get(kind, "d")]
+        return F.struct(is_a.alias("is_a"), F.when(is_a == "string", _unquoted(text)).when(is_a.isin("number", "boolean"), text).alias("said"), text.alias("text"))
+
+    def cast(x: Column, kind: Column) -> Column:
+        is_a, text = x["is_a"], x["said"]
+        true = F.when(is_a == "number", F.when(text.isin("0", "1"), text == "1")).otherwise(text.try_cast("boolean"))
+        number = F.when(kind.isin("double", "int", "bigint") & ((is_a == "number") | ((is_a == "string") & text.rlike(_NUMBER))), _finite(text))
+        return F.struct(F.when(kind == "string", text).when(kind == JSON, x["text"]).alias("s"), number.alias("d"), F.when(kind == "boolean", true).alias("b"))
+
+    base = table.select(*[F.col(f"`{c}`").alias(f"__o{i}") for i, c in enumerate(own)], *[F.col(f"`{n}`").alias(f"__t{i}") for i, n in enumerate(before.values())], F.col("rescued_line").alias("__line"), F.col("rescued").alias("__rescued"))
+    base = _with_texts(base, "__rescued", "__m")
+    known = F.array(*[F.lit(s) for s in kinds] or [F.lit(None).cast("string")])
+    asked = F.map_filter("__m", lambda k, v: F.array_contains(known, k) & (v != "null"))
+    base = base.withColumn("__c", F.transform_values(asked, lambda k, v: F.when(F.try_element_at(lookup, k) == JSON, v).otherwise(inner(v))) if unwrap else asked)
+    base = base.withColumn("__c", F.transform_values("__c", lambda k, v: said(v)))
+    base = base.withColumn("__c", F.transform_values("__c", lambda k, v: cast(v, F.try_element_at(lookup, k))))
+    cell = lambda s: F.try_element_at("__c", F.lit(s))
+    part = lambda s, kind: {"string": cell(s)["s"], JSON: cell(s)["s"], "boolean": cell(s)["b"], "double": cell(s)["d"]}.get(kind, _whole(cell(s)["d"], kind))
     base = base.select("*", *[part(s, kind).alias(f"__v{i}") for i, (s, kind) in enumerate(kinds.items())])
     value = {s: F.col(f"__v{i}") for i, s in enumerate(kinds)}
     typed, used = {}, []
