@@ -224,7 +224,8 @@ def replay(table: DataFrame, schema: dict[str, str], promoted: dict[str, str], a
     stays, and so does the loser of two values for one column. ``rescued`` is null if nothing is left; a line that was kept
     whole is its entry "_line". No value is lost.
 
-    A field of promoted with the type JSON becomes a string column of its values' JSON texts. Types are string, double, int,
+    A number that fills a string column comes in its shortest spelling (2, not 2.0). A field of promoted with the type JSON
+    becomes a string column of its values' JSON texts. Types are string, double, int,
     bigint, boolean and JSON. The records' lines aren't read again, so that fields can be approved long after the ingestion.
     """
     wanted = {**schema, **promoted}

@@ -134,7 +134,27 @@ def _p7(spark: SparkSession, d: str) -> DataFrame:
     return stage(drift.ingest(table(spark, d, "release_meta_raw"), META), "rescue")
 
 
-@R.query()
+_P7 = r"""WITH RECURSIVE j AS (SELECT file_id, release_name, seq_no, CASE WHEN json_valid(payload) AND json_type(payload) = 'OBJECT' THEN payload::JSON END AS p FROM release_meta_raw WHERE file_id IS NOT NULL AND release_name IS NOT NULL AND seq_no IS NOT NULL),
+files AS (SELECT DISTINCT file_id, release_name, seq_no FROM j),
+links AS (SELECT file_id AS f, lag(file_id) OVER (PARTITION BY release_name ORDER BY seq_no, file_id) AS p FROM files),
+keys AS (SELECT file_id AS f, p, unnest(json_keys(p)) AS field FROM j WHERE p IS NOT NULL),
+vals AS (SELECT DISTINCT f, field, CASE json_type(x) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'NULL' THEN NULL ELSE 'number' END AS kind,
+  CASE WHEN json_type(x) IN ('DOUBLE', 'BIGINT', 'UBIGINT', 'HUGEINT') AND length(regexp_replace(x::VARCHAR, '[^0-9]', '', 'g')) < 16 THEN x::DOUBLE::VARCHAR WHEN json_type(x) <> 'NULL' THEN x::VARCHAR END AS v
+  FROM (SELECT f, field, json_extract(p, '$."' || field || '"') AS x FROM keys)),
+fields AS (SELECT f, field, list_sort(coalesce(list(DISTINCT kind) FILTER (kind IS NOT NULL), [])) AS kinds FROM vals GROUP BY 1, 2),
+pair AS (SELECT coalesce(n.f, o.f) AS f, coalesce(n.p, o.p) AS p, coalesce(n.field, o.field) AS field, n.kinds AS kinds, o.kinds AS old_kinds
+  FROM (SELECT l.f, l.p, field, kinds FROM links l JOIN fields ON fields.f = l.f WHERE l.p IS NOT NULL) n FULL JOIN (SELECT l.f, l.p, field, kinds FROM links l JOIN fields ON fields.f = l.p) o ON n.f = o.f AND n.field = o.field),
+shared AS (SELECT DISTINCT a.f, a.field, b.field AS old FROM pair a JOIN vals x ON x.f = a.f AND x.field = a.field JOIN pair b ON b.f = a.f JOIN vals y ON y.f = b.p AND y.field = b.field AND y.kind = x.kind AND y.v = x.v
+  WHERE a.old_kinds IS NULL AND b.kinds IS NULL)
+"""
+_META = ", ".join(f"('{f}', '{k}')" for f, k in META.items())
+_NUMBER = r"^-?(0|[1-9][0-9]{0,14})(\.[0-9]{1,15})?$"
+
+
+@R.query(_P7 + """SELECT DISTINCT f AS file_id, field AS field_name, 'renamed' AS change_kind FROM shared
+UNION ALL SELECT f, field, 'added' FROM pair WHERE old_kinds IS NULL AND (f, field) NOT IN (SELECT (f, field) FROM shared)
+UNION ALL SELECT f, field, 'removed' FROM pair WHERE kinds IS NULL AND (f, field) NOT IN (SELECT (f, old) FROM shared)
+UNION ALL SELECT f, field, 'retyped' FROM pair WHERE len(kinds) > 0 AND len(old_kinds) > 0 AND kinds <> old_kinds""")
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return drift.table_changes(_p7(spark, d), META)
 
@@ -143,3 +163,37 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 def p7_table(spark: SparkSession, d: str) -> DataFrame:
     rescued = _p7(spark, d)
     return drift.replay(rescued, META, *drift.approve(rescued, META), UNWRAP)
+
+
+@R.query(_P7 + rf""", meta(field, kind) AS (VALUES {_META}),
+edges AS (SELECT field AS a, old AS b FROM shared UNION SELECT old, field FROM shared),
+reach(target, name) AS (SELECT field, field FROM meta UNION SELECT r.target, e.b FROM reach r JOIN edges e ON e.a = r.name WHERE e.b NOT IN (SELECT field FROM meta)),
+every AS (SELECT raw_id, payload, CASE WHEN json_valid(payload) AND json_type(payload) = 'OBJECT' THEN payload::JSON END AS p FROM release_meta_raw),
+cells AS (SELECT raw_id, field, x, json_type(x) AS t, x ->> '$' AS said FROM (SELECT raw_id, field, json_extract(p, '$."' || field || '"') AS x FROM (SELECT raw_id, p, unnest(json_keys(p)) AS field FROM every WHERE p IS NOT NULL))),
+types AS (SELECT field, CASE WHEN bool_and(t = 'VARCHAR') THEN 'string' WHEN bool_and(CASE WHEN t = 'VARCHAR' THEN regexp_matches(said, '{_NUMBER}') ELSE t IN ('DOUBLE', 'BIGINT', 'UBIGINT', 'HUGEINT') AND NOT regexp_matches(said, '^-?[0-9]{{16,}}$') END) THEN 'double'
+  WHEN bool_and(CASE WHEN t = 'VARCHAR' THEN said IN ('true', 'false') ELSE t = 'BOOLEAN' END) THEN 'boolean' ELSE 'json' END AS kind FROM cells WHERE t <> 'NULL' GROUP BY 1),
+wanted AS (SELECT name AS source, target, meta.kind FROM reach JOIN meta ON meta.field = reach.target UNION ALL SELECT field, field, coalesce(kind, 'json') FROM (SELECT DISTINCT field FROM cells) LEFT JOIN types USING (field) WHERE field NOT IN (SELECT name FROM reach)),
+held AS (SELECT raw_id, w.*, x AS whole, t AS whole_t, CASE WHEN t = 'OBJECT' AND kind <> 'json' THEN coalesce(x -> '$.v', x -> '$.kind', x) ELSE x END AS x FROM cells JOIN wanted w ON w.source = cells.field WHERE t <> 'NULL'),
+said AS (SELECT *, json_type(x) AS t, x ->> '$' AS said FROM held),
+read AS (SELECT *, CASE WHEN kind IN ('double', 'int') AND (t IN ('DOUBLE', 'BIGINT', 'UBIGINT', 'HUGEINT') OR t = 'VARCHAR' AND regexp_matches(said, '{_NUMBER}')) AND NOT regexp_matches(said, '^-?[0-9]{{16,}}$') THEN try_cast(said AS DOUBLE) END AS d,
+  CASE WHEN kind = 'json' THEN x::VARCHAR WHEN kind = 'string' AND t IN ('DOUBLE', 'BIGINT', 'UBIGINT', 'HUGEINT') THEN regexp_replace(regexp_replace(said, '(\.[0-9]*?)0+$', '\1'), '\.$', '') WHEN kind = 'string' AND t NOT IN ('OBJECT', 'ARRAY') THEN said WHEN kind = 'boolean' AND t IN ('BOOLEAN', 'VARCHAR') THEN try_cast(said AS BOOLEAN)::VARCHAR WHEN kind = 'boolean' AND said IN ('0', '1') THEN (said = '1')::VARCHAR END AS s FROM said),
+cast_as AS (SELECT raw_id, source, target, kind, whole_t, s AS text_value, CASE WHEN kind = 'double' OR d = floor(d) THEN d END AS number_value FROM read),
+won AS (SELECT *, row_number() OVER (PARTITION BY raw_id, target ORDER BY source <> target, source) AS rn FROM cast_as WHERE text_value IS NOT NULL OR number_value IS NOT NULL),
+gone AS (SELECT raw_id, source FROM won WHERE rn = 1 AND (kind = 'json' OR whole_t <> 'OBJECT') UNION SELECT raw_id, field FROM cells WHERE t = 'NULL')
+SELECT raw_id, target AS field, text_value, number_value FROM won WHERE rn = 1
+UNION ALL SELECT raw_id, 'rescued', NULL, count(*)::DOUBLE FROM cells WHERE (raw_id, field) NOT IN (SELECT (raw_id, source) FROM gone) GROUP BY 1
+UNION ALL SELECT raw_id, 'rescued', payload, 1.0 FROM every WHERE p IS NULL AND payload IS NOT NULL""")
+def p7_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The cells of p7_table, a row for each: raw_id, field and its text or number; under rescued, how many fields stayed there,
+    or a line that is no JSON object."""
+    t, own = stage(p7_table(spark, d), "table"), table(spark, d, "release_meta_raw").columns
+    none = {"text_value": F.lit(None).cast("string"), "number_value": F.lit(None).cast("double")}
+
+    def cell(name: str, kind: str) -> F.Column:
+        value = {"number_value": F.col(name).cast("double")} if kind in ("double", "int") else {"text_value": F.col(name).cast("string")}
+        return F.when(F.col(name).isNotNull(), F.struct(F.lit(name).alias("field"), *[c.alias(n) for n, c in {**none, **value}.items()]))
+
+    line = F.get_json_object("rescued", "$._line")
+    left = F.struct(F.lit("rescued").alias("field"), line.alias("text_value"), F.size(F.json_object_keys("rescued")).cast("double").alias("number_value"))
+    cells = [cell(n, k) for n, k in t.dtypes if n not in own and n != "rescued"]
+    return t.select("raw_id", F.explode(F.array_compact(F.array(*cells, F.when(F.col("rescued").isNotNull(), left)))).alias("c")).select("raw_id", "c.*")

@@ -176,3 +176,18 @@ def test_whole_tables_are_drawn_and_combined(spark):
     d = "/root/testdata/sf0.001"
     assert catalog.queries()["weighted_draws"](spark, d).count() == spark.read.parquet(f"{d}/part.parquet").count() == 200
     assert catalog.queries()["combinatorial_configs"](spark, d).count() == 25 + 300 + 2300
+
+
+def test_stored_rescue_is_replayed_later(spark, tmp_path):
+    """A field approved after the table was written is filled from what the table stored; numbers beyond doubles keep their line."""
+    docs = [{"k": 1, "new": 5}, {"k": "2", "newer": 6}, {"k": None, "new": 7, "newer": 8}, "oops", '{"k": 1e400, "new": 123456789012345678901234567890123456789012345}', {"k": {"v": 3}}]
+    schema = {"k": "double"}
+    drift.ingest(_raw(spark, {1: ("r", 1, docs)}), schema).write.parquet(out := str(tmp_path / "t"))
+    stored = spark.read.parquet(out)
+    assert [json.loads(r["rescued"]) if r["rescued"] else None for r in stored.orderBy("raw_id").collect()][:4] == [{"new": 5}, {"k": "2", "newer": 6}, {"k": None, "new": 7, "newer": 8}, None]
+    early = drift.replay(stored, schema, {}, {}).orderBy("raw_id").collect()
+    assert [r["k"] for r in early] == [1.0, 2.0, None, None, None, None] and json.loads(early[0]["rescued"]) == {"new": 5}
+    late = drift.replay(stored, schema, {"new": "bigint"}, {"newer": "new"}, unwrap=("v",)).orderBy("raw_id").collect()
+    assert [r["k"] for r in late] == [1.0, 2.0, None, None, None, 3.0] and [r["new"] for r in late] == [5, 6, 7, None, None, None]
+    rests = [json.loads(r["rescued"]) if r["rescued"] else None for r in late]
+    assert rests[:4] == [None, None, {"newer": 8}, {"_line": "oops"}] and rests[4]["_line"] == docs[4] and rests[5] == {"k": {"v": 3}}
