@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,85 +12,67 @@ from quern.operators.prefix import prefix_sums
 from quern.plans.staging import broadcast_checked, stage
 
 
-def unpivot_doubles(df: DataFrame, load: str, columns: dict[str, str]) -> DataFrame:
-    """(load, column_name, value): a row for each number of the given columns (source column -> name); arrays give a row for
-    each element, null and empty arrays none."""
-    parts = []
-    for c, name in columns.items():
-        array = df.schema[c].dataType.simpleString().startswith("array")
-        parts.append(df.select(F.col(load).alias("load"), F.lit(name).alias("column_name"), (F.explode(F.col(c).cast("array<double>")) if array else F.col(c).cast("double")).alias("value")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def unpivot(df: DataFrame, load: str, columns: dict[str, str]) -> DataFrame:
+    """(load, column_name, is_text, value, text): a row for each value of the given columns (source column -> name), numbers as
+    double in value, strings in text; arrays of numbers give a row for each element, null and empty arrays none."""
 
+    def one(c: str, name: str) -> DataFrame:
+        kind = df.schema[c].dataType.simpleString()
+        text = kind == "string"
+        value = F.lit(None).cast("double") if text else F.explode(F.col(c).cast("array<double>")) if kind.startswith("array") else F.col(c).cast("double")
+        return df.select(F.col(load).alias("load"), F.lit(name).alias("column_name"), F.lit(text).alias("is_text"), value.alias("value"), (F.col(c) if text else F.lit(None).cast("string")).alias("text"))
 
-def frequencies(values: DataFrame) -> DataFrame:
-    """Staged (load, column_name, value, n) with NaN as one value and null as one; load null is dropped."""
-    return stage(values.where(F.col("load").isNotNull()).groupBy("load", "column_name", "value").agg(F.count(F.lit(1)).alias("n")), "frequencies")
+    return reduce(DataFrame.unionByName, [one(c, n) for c, n in columns.items()])
 
 
-def profile_numbers(freq: DataFrame, in_range: Callable[[Column, Column], Column], quantiles: tuple[float, ...] = (0.5,)) -> DataFrame:
-    """A row for each load and column: rows, nulls, distincts (NaN is one value), outside (NaN, infinite or not in range),
-    least, most, and q_<percent> quantiles of the values in range, exact, linear between neighbours.
+def frequencies(values: DataFrame) -> DataFrame:
+    """Staged unpivoted values with their number n, with NaN as one value and null as one; load null is dropped."""
+    return stage(values.where(F.col("load").isNotNull()).groupBy(*values.columns).agg(F.count(F.lit(1)).alias("n")), "frequencies")
 
-    freq comes from frequencies(); in_range(column_name, value) says which finite values are allowed. Values are aggregated to
-    counts, range-sorted by column, load and value over all partitions, and counted by partition prefixes; a quantile is read
-    off where the cumulative count passes its rank, so that no load or column is ever in one task. A load whose values are
-    all null or out of range has null quantiles.
-    """
-    v, n = F.col("value"), F.col("n")
-    fine = F.coalesce(~F.isnan(v) & (F.abs(v) < float("inf")) & in_range(F.col("column_name"), v), F.lit(False))
-    stats = freq.groupBy("load", "column_name").agg(
-        F.sum("n").alias("rows"),
-        F.sum(F.when(v.isNull(), n).otherwise(0)).alias("nulls"),
-        F.count("value").alias("distincts"),
-        F.sum(F.when(v.isNotNull() & ~fine, n).otherwise(0)).alias("outside"),
-        F.min(F.when(~F.isnan(v), v)).alias("least"),
-        F.max(F.when(~F.isnan(v), v)).alias("most"),
-        F.sum(F.when(fine, n).otherwise(0)).alias("_m"),
-    )
-    run = stage(prefix_sums(freq.where(fine), ["column_name", "load"], [F.col("value").asc()], ["n"]), "cumulative")
-    size = stats.select(F.col("load").alias("_l"), F.col("column_name").alias("_c"), "_m").where("_m > 0")
-    size = broadcast_checked(size)
-    met = run.join(size, (run["load"] == size["_l"]) & (run["column_name"] == size["_c"]))
-    rank = lambda q: (F.col("_m") - 1) * F.lit(q)
-    reach = lambda r: F.min(F.when(F.col("cum_n") > r, v))
-    ends = [a for i, q in enumerate(quantiles) for a in (reach(F.floor(rank(q))).alias(f"_lo{i}"), reach(F.ceil(rank(q))).alias(f"_hi{i}"))]
-    got = met.groupBy("load", "column_name", "_m").agg(*ends)
-    part = lambda i, q: F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (rank(q) - F.floor(rank(q)))
-    got = got.select("load", "column_name", *[part(i, q).alias(f"q_{q * 100:g}".replace(".", "_")) for i, q in enumerate(quantiles)])
-    return stats.drop("_m").join(got, ["load", "column_name"], "left")
 
+def profile(freq: DataFrame, previous: DataFrame, in_range: Callable[[Column, Column], Column], pattern: str = ".*", quantiles: tuple[float, ...] = (0.5,)) -> DataFrame:
+    """A row for each load and column: rows, nulls, distincts (NaN is one value), least and most (NaN left out), outside (numbers
+    that are NaN, infinite or not in range), breaches (strings that pattern doesn't match as a whole), q_<percent> quantiles
+    of the values in range, exact, linear between neighbours, and ks, the exact Kolmogorov-Smirnov distance of the load's
+    finite values from those of the load before it.
 
-def ks_distances(freq: DataFrame, previous: DataFrame) -> DataFrame:
-    """(load, column_name, ks): exact Kolmogorov-Smirnov distance of a load's finite values from those of the load before it.
+    freq comes from frequencies(); in_range(column_name, value) says which finite values are allowed; previous: (load,
+    prev_load), any load may be the previous of several. Each load's counts, and beside them those of the load before it, are
+    range-sorted once by column, load and value over all partitions; prefix counts of the partitions give the cumulative
+    curves of both, and the number of distinct values. A quantile is read off where the count in range passes its rank, the
+    distance is the largest gap between the two curves' shares. No load or column is ever in one task.
 
-    previous: (load, prev_load). Both loads' counts are merged into one curve, range-sorted by column, load and value, with
-    cumulative counts of either side from partition prefixes; the distance is the largest gap between the two shares. Null
-    without finite values on both sides. One load may be the previous of several.
+    outside, least, most and quantiles are null for a column of strings, breaches for one of numbers; quantiles are null
+    without a value in range, ks without finite values on both sides. The empty string is a value. Empty tables give an
+    empty result.
     """
-    ok = freq.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")))
+    v, text = F.col("value"), F.col("is_text")
     links = previous.where("load is not null and prev_load is not null").select("load", "prev_load").distinct()
-    links = broadcast_checked(links)
-    own = ok.join(links.select("load"), "load").select("load", "column_name", "value", F.col("n").alias("a"), F.lit(0).cast("bigint").alias("b"))
-    old = ok.withColumnRenamed("load", "prev_load").join(links, "prev_load").select("load", "column_name", "value", F.lit(0).cast("bigint").alias("a"), F.col("n").alias("b"))
-    merged = own.unionByName(old).groupBy("load", "column_name", "value").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    run = stage(prefix_sums(merged, ["column_name", "load"], [F.col("value").asc()], ["a", "b"]), "curves")
-    ends = run.groupBy("load", "column_name").agg(F.max("cum_a").alias("_a"), F.max("cum_b").alias("_b"))
-    gap = F.abs(F.try_divide("cum_a", "_a") - F.try_divide("cum_b", "_b"))
-    return run.join(broadcast_checked(ends), ["load", "column_name"]).groupBy("load", "column_name").agg(F.max(gap).alias("ks"))
-
-
-def profile_strings(df: DataFrame, load: str, column: str, pattern: str) -> DataFrame:
-    """A row for each load: rows, nulls, distincts and breaches, the non-null values of column that pattern doesn't match as a
-    whole. Values are aggregated to counts first. The empty string is a value."""
-    freq = df.where(F.col(load).isNotNull()).groupBy(F.col(load).alias("load"), F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    bad = F.col("value").isNotNull() & ~F.col("value").rlike(rf"\A(?:{pattern})\z")
-    return freq.groupBy("load").agg(
-        F.lit(column).alias("column_name"),
-        F.sum("n").alias("rows"),
-        F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("nulls"),
-        F.count("value").alias("distincts"),
-        F.sum(F.when(bad, F.col("n")).otherwise(0)).alias("breaches"),
+    finite = F.coalesce(~text & ~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False))
+    zero = F.lit(0).cast("bigint")
+    own = freq.select("load", "column_name", "is_text", "value", "text", F.col("n").alias("a"), zero.alias("b"))
+    old = freq.where(finite).withColumnRenamed("load", "prev_load").join(broadcast_checked(links), "prev_load").select("load", "column_name", "is_text", "value", "text", zero.alias("a"), F.col("n").alias("b"))
+    fine = finite & F.coalesce(in_range(F.col("column_name"), v), F.lit(False))
+    known = F.coalesce("text", v.cast("string")).isNotNull()
+    both = own.unionByName(old).withColumns({"fine": F.when(fine, F.col("a")).otherwise(zero), "good": F.when(finite, F.col("a")).otherwise(zero), "one": F.when((F.col("a") > 0) & known, 1).otherwise(0).cast("bigint")})
+    run = prefix_sums(both, ["column_name", "load"], [v.asc(), F.col("text").asc()], ["fine", "good", "b", "one"], peers=True)
+    rank = lambda q: (F.col("all_fine") - 1) * F.lit(q)
+    reach = lambda r: F.min(F.when((F.col("fine") > 0) & (F.col("cum_fine") > r), v))
+    ends = [e for i, q in enumerate(quantiles) for e in (reach(F.floor(rank(q))).alias(f"_lo{i}"), reach(F.ceil(rank(q))).alias(f"_hi{i}"))]
+    mine, number = F.col("a") > 0, F.when(~F.isnan(v), v)
+    bad = text & F.col("text").isNotNull() & ~F.col("text").rlike(rf"\A(?:{pattern})\z")
+    gap = F.abs(F.try_divide("cum_good", "all_good") - F.try_divide("cum_b", "all_b"))
+    of = run.groupBy("load", "column_name", "is_text", "all_fine", F.col("all_one").alias("distincts")).agg(
+        F.sum("a").alias("rows"),
+        F.sum(F.when(known, 0).otherwise(F.col("a"))).alias("nulls"),
+        F.sum(F.when(known & (F.col("fine") == 0), F.col("a")).otherwise(0)).alias("outside"),
+        F.sum(F.when(bad, F.col("a")).otherwise(0)).alias("breaches"),
+        F.min(F.when(mine, number)).alias("least"),
+        F.max(F.when(mine, number)).alias("most"),
+        F.max(F.when(finite, gap)).alias("ks"),
+        *ends,
     )
+    part = lambda i, q: F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (rank(q) - F.floor(rank(q)))
+    found = [part(i, q).alias(f"q_{q * 100:g}".replace(".", "_")) for i, q in enumerate(quantiles)]
+    only = lambda c, cond: F.when(cond, F.col(c)).alias(c)
+    return of.where("rows > 0").select("load", "column_name", "rows", "nulls", "distincts", only("outside", ~text), only("breaches", text), "least", "most", *found, "ks")

@@ -22,12 +22,10 @@ def _in_range(name, v):
 
 def _p3(spark: SparkSession, d: str) -> DataFrame:
     rows, runs = table(spark, d, "route_c"), table(spark, d, "route_c_stats")
-    values = quality.unpivot_doubles(rows, "run_id", {"calibration_ssim": "calibration_ssim"}).unionByName(quality.unpivot_doubles(runs, "run_id", {"k_values": "k_values"}))
-    freq = quality.frequencies(values)
+    values = quality.unpivot(rows, "run_id", {"calibration_ssim": "calibration_ssim", "source_sample_id": "source_sample_id"}).unionByName(quality.unpivot(runs, "run_id", {"k_values": "k_values"}))
     previous = stage(runs.where("run_id is not null and prev_run_id is not null").groupBy(F.col("run_id").alias("load")).agg(F.max("prev_run_id").alias("prev_load")), "runs")
-    numbers = quality.profile_numbers(freq, _in_range).join(quality.ks_distances(freq, previous), ["load", "column_name"], "left")
-    names = quality.profile_strings(rows, "run_id", "source_sample_id", NAME)
-    both = stage(numbers.unionByName(names, allowMissingColumns=True), "profile").join(broadcast_checked(previous), "load", "left")
+    numbers = quality.profile(quality.frequencies(values), previous, _in_range, NAME)
+    both = stage(numbers, "profile").join(broadcast_checked(previous), "load", "left")
     old = both.select(F.col("load").alias("prev_load"), "column_name", (F.col("nulls") / F.col("rows")).alias("prev_null_share"), F.col("q_50").alias("prev_median"))
     return both.join(old, ["prev_load", "column_name"], "left").withColumn("null_share", F.col("nulls") / F.col("rows"))
 

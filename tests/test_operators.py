@@ -217,14 +217,25 @@ def test_concentration_with_ties(spark):
 
 def test_profile_of_small_loads(spark):
     df = spark.createDataFrame([(1, v) for v in [0.1, 0.5, math.nan, None, 2.0]] + [(2, None), (None, 0.5)] + [(3, 0.9), (3, 0.7)], "r int, v double")
-    freq = quality.frequencies(quality.unpivot_doubles(df, "r", {"v": "v"}))
-    got = {r["load"]: r for r in quality.profile_numbers(freq, lambda n, v: v.between(0, 1)).collect()}
+    prev = spark.createDataFrame([(3, 1), (2, 1)], "load int, prev_load int")
+    freq = quality.frequencies(quality.unpivot(df, "r", {"v": "v"}))
+    got = {r["load"]: r for r in quality.profile(freq, prev, lambda n, v: v.between(0, 1)).collect()}
     assert set(got) == {1, 2, 3}
     assert (got[1]["rows"], got[1]["nulls"], got[1]["distincts"], got[1]["outside"]) == (5, 1, 4, 2) and abs(got[1]["q_50"] - 0.3) < 1e-12
     assert got[2]["q_50"] is None and got[2]["nulls"] == 1
-    prev = spark.createDataFrame([(3, 1), (2, 1)], "load int, prev_load int")
-    ks = {r["load"]: r["ks"] for r in quality.ks_distances(freq, prev).collect()}
-    assert abs(ks[3] - 2 / 3) < 1e-12 and ks.get(2) is None
+    assert abs(got[3]["ks"] - 2 / 3) < 1e-12 and got[2]["ks"] is None
+
+
+def test_profile_of_strings_and_empty_tables(spark):
+    df = spark.createDataFrame([(1, "ab", [1.0, 2.0]), (1, "ab", None), (1, "", []), (1, None, [None]), (1, "a1", [2.0]), (2, "zz", None), (None, "x", [9.0])], "r int, s string, k array<double>")
+    none = spark.createDataFrame([], "load int, prev_load int")
+    freq = quality.frequencies(quality.unpivot(df, "r", {"s": "s", "k": "elements"}))
+    got = {(r["load"], r["column_name"]): r for r in quality.profile(freq, none, lambda n, v: v < 2, "[a-z]*").collect()}
+    assert set(got) == {(1, "s"), (2, "s"), (1, "elements")}
+    s, k = got[1, "s"], got[1, "elements"]
+    assert (s["rows"], s["nulls"], s["distincts"], s["breaches"], s["outside"], s["q_50"]) == (5, 1, 3, 1, None, None)
+    assert (k["rows"], k["nulls"], k["distincts"], k["outside"], k["breaches"], k["q_50"], k["least"], k["most"]) == (4, 1, 2, 2, None, 1.0, 1.0, 2.0)
+    assert quality.profile(freq.limit(0), none, lambda n, v: v < 2).count() == 0
 
 
 def test_keep_calibrated_decides_over_all_rows(spark):
