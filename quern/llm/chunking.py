@@ -7,17 +7,15 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.tokens import FOLDER, WHITE, code_points, encode_texts, encoder, ranks
+from quern.llm.tokens import FOLDER, LONG, WHITE, code_points, encode_cut, encode_texts, ranks
 from quern.plans.staging import spread
 
 #: Characters that end a sentence before white space, and those that end one anywhere.
 ENDS, FULL_ENDS = [ord(c) for c in ".!?…;:"], [ord(c) for c in "。！？"]
-#: Characters of a text that is encoded by the task that cuts it; longer ones are encoded in fragments by many.
-SHORT = 8192
 LEVELS = ["hard", "char", "word", "sentence", "line", "paragraph"]
 HARD, CHAR, WORD, SENTENCE, LINE, PARAGRAPH = range(6)
 
@@ -60,12 +58,18 @@ def boundary_levels(text: str) -> np.ndarray:
     return out
 
 
-def boundaries(levels: np.ndarray) -> dict[int, list[int]]:
-    """Sorted places of the boundaries of each kind or a stronger one."""
-    return {k: np.flatnonzero(levels >= k).tolist() for k in (PARAGRAPH, LINE, SENTENCE, WORD, CHAR)}
+class boundaries(dict):
+    """Sorted places of the boundaries of each kind or a stronger one; made when first asked for."""
 
+    def __init__(self, levels: np.ndarray) -> None:
+        self.levels = levels
 
-def cut_points(levels: np.ndarray, limit: int, overlap: int, sorted_at: dict[int, list[int]] | None = None) -> list[tuple[int, int, str]]:
+    def __missing__(self, kind: int) -> list[int]:
+        self[kind] = np.flatnonzero(self.levels >= kind).tolist()
+        return self[kind]
+
+
+def cut_points(levels: np.ndarray, limit: int, overlap: int, sorted_at: boundaries | None = None) -> list[tuple[int, int, str]]:
     """(start, end, kind of its end) of each piece; levels: the boundary level before each token and after the last.
 
     The end is the last paragraph end in the second half of the window of ``limit`` tokens, else the last line end there,
@@ -105,33 +109,58 @@ def split_long(df: DataFrame, limits: list[tuple[int, int, int]], key: str = "do
         if most is None or over is None or not 0 <= over < most:
             raise ValueError(f"limit {i}: overlap {over} of {most} tokens")
     path = f"{folder}/{tokenizer}.tiktoken"
-    texts = spread(df.where(F.length(text) > 0).select(key, text))
-    short = texts.where(F.length(text) <= SHORT).withColumn("ids", F.lit(None).cast("array<int>"))  # encoded where they are cut
-    coded = short.unionByName(encode_texts(texts.where(F.length(text) > SHORT), text, "ids", tokenizer, folder, SHORT))
+    texts = spread(df.where(F.length(text) > 0).select(F.col(key).alias("key"), F.col(text).alias("text")))
+    short = texts.where(F.length("text") <= LONG).withColumn("ids", F.lit(None).cast("array<int>"))  # encoded where they are cut
+    coded = short.unionByName(encode_texts(texts.where(F.length("text") > LONG), "text", "ids", tokenizer, folder))
     kind, least = df.schema[key].dataType.simpleString(), min((most for _, most, _ in limits), default=1 << 62)
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.zeros(max(ranks(path).values()) + 1, np.int64)
         for t, i in ranks(path).items():
             size[i] = len(t)
-        encode = encoder(path).encode_ordinary
-        names, rows = ["limit_id", key, "piece_no", "token_start", "token_end", "n_tokens", "cut", "ids", "piece_text"], []
-        for pdf in it:
-            for k, t, ids in zip(pdf[key], pdf[text], pdf["ids"]):
-                ids = np.asarray(encode(t) if ids is None else ids, np.int64)
-                at, raw = np.concatenate([[0], np.cumsum(size[ids])]), t.encode()
+        for batch in it:
+            keys, made = batch.column("key"), Pieces()
+            for row, (t, given) in enumerate(zip(batch.column("text"), batch.column("ids"))):
+                t = t.as_py()
+                ids = np.asarray(given.values if given.is_valid else encode_cut(t, path), np.int32)
                 if len(ids) <= least:
                     continue
+                at, raw = np.concatenate([[0], np.cumsum(size[ids])]), t.encode()
                 levels = boundary_levels(t)[at]
                 places = boundaries(levels)
                 for lid, most, over in limits:
                     if len(ids) > most:
-                        for no, (a, b, cut) in enumerate(cut_points(levels, most, over, places)):
-                            rows.append((lid, k, no, a, b, b - a, cut, ids[a:b], raw[at[a] : at[b]].decode(errors="replace")))
-                if len(rows) >= 2000:
-                    yield pd.DataFrame(rows, columns=names)
-                    rows = []
-        if rows:
-            yield pd.DataFrame(rows, columns=names)
-
-    return coded.mapInPandas(run, f"limit_id int, `{key}` {kind}, piece_no int, token_start int, token_end int, n_tokens int, cut string, ids array<int>, piece_text string")
+                        made.add(lid, row, ids, raw, at, levels, cut_points(levels, most, over, places))
+                if made.tokens > 1 << 20:
+                    yield made.batch(keys)
+                    made = Pieces()
+            if made.tokens:
+                yield made.batch(keys)
+
+    return coded.mapInArrow(run, f"limit_id int, key {kind}, piece_no int, token_start int, token_end int, n_tokens int, cut string, ids array<int>, piece_text string").withColumnRenamed("key", key)
+
+
+class Pieces:
+    """Pieces of several texts as columns: no object for each of their tokens or characters."""
+
+    def __init__(self) -> None:
+        self.tokens, self.numbers, self.cuts, self.ids, self.texts = 0, [], [], [], []
+
+    def add(self, limit: int, row: int, ids: np.ndarray, raw: bytes, at: np.ndarray, levels: np.ndarray, points: list[tuple[int, int, str]]) -> None:
+        where, torn = at.tolist(), (levels == HARD).tolist()
+        for no, (a, b, cut) in enumerate(points):
+            self.numbers.append((limit, row, no, a, b))
+            self.cuts.append(cut)
+            self.ids.append(ids[a:b])
+            part = raw[where[a] : where[b]]
+            self.texts.append(part.decode(errors="replace").encode() if torn[a] or torn[b] else part)
+            self.tokens += b - a
+
+    def batch(self, keys: pa.Array) -> pa.RecordBatch:
+        limit, row, no, start, end = (pa.array(c) for c in np.array(self.numbers, np.int32).T.copy())
+        n = np.concatenate([[0], np.cumsum([len(x) for x in self.ids])]).astype(np.int32)
+        chars = np.concatenate([[0], np.cumsum([len(x) for x in self.texts])]).astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(n), pa.array(np.concatenate(self.ids)))
+        texts = pa.StringArray.from_buffers(len(self.texts), pa.py_buffer(chars), pa.py_buffer(b"".join(self.texts)))
+        columns = {"limit_id": limit, "key": keys.take(row), "piece_no": no, "token_start": start, "token_end": end, "n_tokens": pa.array(np.diff(n)), "cut": pa.array(self.cuts), "ids": ids, "piece_text": texts}
+        return pa.RecordBatch.from_pydict(columns)

@@ -19,6 +19,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Fixed value: the code points of Unicode white space.
 WHITE = [*range(9, 14), 0x1C, 0x1D, 0x1E, 0x1F, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 APOSTROPHE = 0x27
+_WHITE = frozenset(WHITE)
 
 
 @lru_cache(maxsize=4)
@@ -68,36 +69,62 @@ def certain_cuts(text: str, path: str) -> np.ndarray:
     return np.flatnonzero(free) + 1
 
 
-def fragments(text: str, path: str, size: int) -> list[str]:
-    """text in parts of about size characters, cut at certain cuts only: longer where none comes, whole if there is none."""
-    if len(text) <= size:
-        return [text]
-    cuts, out, at = certain_cuts(text, path), [], 0
+#: Characters from which on a certain cut is looked for, and characters of a text whose parts are encoded by several tasks.
+FRAGMENT, LONG = 512, 8192
+
+
+@lru_cache(maxsize=4)
+def _table(path: str) -> bytes:
+    return joined_bytes(path).tobytes()
+
+
+def next_cut(text: str, at: int, path: str) -> int:
+    """The first of certain_cuts at or after position at > 0; the length of text if none comes. It looks no further than it must."""
+    table, before = _table(path), ord(text[at - 1])
+    for p in range(at, len(text)):
+        c, a = ord(text[p]), before
+        before = c
+        last = a if a < 0x80 else 0x80 | (a & 0x3F)
+        first = c if c < 0x80 else 0xC0 | (c >> 6) if c < 0x800 else 0xE0 | (c >> 12) if c < 0x10000 else 0xF0 | (c >> 18)
+        if not table[last << 8 | first] and a not in _WHITE and a != APOSTROPHE != c and (p < 2 or text[p - 2] != "'"):
+            return p
+    return len(text)
+
+
+def fragments(text: str, path: str, size: int = FRAGMENT) -> list[str]:
+    """text cut at the first certain cut after each ``size`` characters: longer parts where none comes, whole if there is none."""
+    out, at = [], 0
     while len(text) - at > size:
-        k = np.searchsorted(cuts, at + size)
-        if k == len(cuts):
-            break
-        out.append(text[at : cuts[k]])
-        at = int(cuts[k])
-    return [*out, text[at:]]
+        cut = next_cut(text, at + size, path)
+        out.append(text[at:cut])
+        at = cut
+    return [*out, text[at:]] if at < len(text) or not out else out
+
+
+def encode_cut(text: str, path: str) -> list[int]:
+    """Ids of text: of its fragments, one after another."""
+    encode, ids = encoder(path).encode_ordinary, []
+    for f in fragments(text, path):
+        ids += encode(f)
+    return ids
 
 
-def _encode(path: str, size: int):
+def _encode(path: str):
     def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = encoder(path).encode_ordinary
         for texts in it:
-            yield pd.Series([[] if not t else encode(t) if len(t) <= size else [i for f in fragments(t, path, size) for i in encode(f)] for t in texts])
+            yield pd.Series([encode_cut(t, path) if t else [] for t in texts])
 
     return F.pandas_udf(run, "array<int>").asNondeterministic()  # else a filter on the ids would encode once more
 
 
-def encode_texts(df: DataFrame, text: str = "text", ids: str = "ids", tokenizer: str = "byte_bpe_50k", folder: str = FOLDER, size: int = 8192) -> DataFrame:
+def encode_texts(df: DataFrame, text: str = "text", ids: str = "ids", tokenizer: str = "byte_bpe_50k", folder: str = FOLDER, size: int = LONG) -> DataFrame:
     """df with a column ids: the token ids of text, without special tokens (their strings are ordinary text).
 
-    Forced-boundary splitting: two bytes that follow each other in no token of the vocabulary mark a certain cut. Texts of
-    more than ``size`` characters are cut there into fragments, which are spread over all tasks, encoded one by one and put
-    together again; equal long texts are encoded once. Shorter texts are encoded in place. The ids are exactly those of the
-    whole text. A stretch without a certain cut stays in one fragment, whatever its length.
+    Forced-boundary splitting: two bytes that follow each other in no token of the vocabulary mark a certain cut. Every text
+    is cut at the first certain cut after each FRAGMENT characters, the fragments are encoded one by one, and their ids put
+    together: exactly those of the whole text. Of texts of more than ``size`` characters, parts of about that length (cut at
+    certain cuts too) are spread over all tasks; equal ones are encoded once. A stretch without a certain cut stays in one
+    fragment, whatever its length.
 
     An empty or null text gives an empty list. Rows, other columns and repeated rows stay as they are; a column already
     named like ids is replaced. folder holds the rank file <tokenizer>.tiktoken on every executor.
@@ -105,9 +132,9 @@ def encode_texts(df: DataFrame, text: str = "text", ids: str = "ids", tokenizer:
     path = f"{folder}/{tokenizer}.tiktoken"
     base = spread(df.drop(ids))
     sha = free_name("_sha", df)
-    long = F.length(text) > size
-    short = base.where(F.coalesce(~long, F.lit(True))).withColumn(ids, _encode(path, size)(F.col(text)))
-    keyed = base.where(long).withColumn(sha, F.sha2(F.col(text), 256))
+    is_long = F.length(text) > size
+    short = base.where(F.coalesce(~is_long, F.lit(True))).withColumn(ids, _encode(path)(F.col(text)))
+    keyed = base.where(is_long).withColumn(sha, F.sha2(F.col(text), 256))
 
     def cut(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -117,6 +144,6 @@ def encode_texts(df: DataFrame, text: str = "text", ids: str = "ids", tokenizer:
 
     texts = keyed.groupBy(F.col(sha).alias("__sha")).agg(F.any_value(F.col(text)).alias("__t"))
     parts = texts.mapInPandas(cut, "__sha string, __no int, __part string").repartition("__sha", "__no")
-    coded = parts.select("__sha", "__no", _encode(path, 1 << 62)(F.col("__part")).alias("__ids"))
+    coded = parts.select("__sha", "__no", _encode(path)(F.col("__part")).alias("__ids"))
     whole = coded.groupBy("__sha").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("__no", "__ids"))), lambda x: x["__ids"])).alias(ids))
     return short.unionByName(keyed.join(whole.withColumnRenamed("__sha", sha), sha).drop(sha))

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+from bisect import bisect_left
 import random
 from collections import Counter, defaultdict
 
@@ -186,6 +187,13 @@ def test_forced_boundaries_are_certain():
     assert len(tokens.fragments("word " * 1000, PATH, 16)) > 200
 
 
+def test_next_cut_is_the_first_certain_one():
+    for t in [t for t in TEXTS if t]:
+        cuts = [*tokens.certain_cuts(t, PATH).tolist(), len(t)]
+        for at in range(1, min(len(t), 600)):
+            assert tokens.next_cut(t, at, PATH) == cuts[bisect_left(cuts, at)]
+
+
 def test_encode_texts_whole_rows_and_other_library(spark):
     from tokenizers import Tokenizer
 
