@@ -32,32 +32,56 @@ def kinds() -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=1)
+def pair_levels() -> np.ndarray:
+    """The kind of boundary between two characters, by the flags of the first (upper four bits) and of the second."""
+    a, b = np.divmod(np.arange(256), 16)
+    out = np.full(256, CHAR, np.int8)
+    out[((b & 1) > 0) & ((a & 1) == 0)] = WORD
+    out[(((a & 4) > 0) & ((b & 1) > 0)) | ((a & 8) > 0)] = SENTENCE
+    out[((a & 2) > 0) & ((b & 2) == 0)] = LINE
+    return out
+
+
 def boundary_levels(text: str) -> np.ndarray:
     """For each byte offset of text in UTF-8, its end included, the strongest kind of boundary there (index into LEVELS)."""
-    c = code_points(text)
-    size = np.where(c < 0x80, 1, np.where(c < 0x800, 2, np.where(c < 0x10000, 3, 4)))
-    at = np.concatenate([[0], np.cumsum(size)])
-    level = np.full(len(c) + 1, CHAR)
+    plain = text.isascii()
+    c = np.frombuffer(text.encode(), np.uint8) if plain else code_points(text)
+    level = np.full(len(c) + 1, CHAR, np.int8)
     if len(c) > 1:
-        flags = kinds()[np.minimum(c, 0xFFFF)]
-        white, newline = (flags & 1) > 0, (flags & 2) > 0
-        a, b = slice(None, -1), slice(1, None)
-        inner = np.full(len(c) - 1, CHAR)
-        inner[white[b] & ~white[a]] = WORD
-        inner[(((flags[a] & 4) > 0) & white[b]) | ((flags[a] & 8) > 0)] = SENTENCE
-        over = newline[a] & ~newline[b]
-        inner[over] = LINE
-        if over.any():
-            total = np.cumsum(c == 10)
-            start = np.maximum.accumulate(np.where(~newline, total, 0))
-            inner[over & ((total - start)[a] >= 2)] = PARAGRAPH  # two line feeds in the run of line ends up to here
-        level[1:-1] = inner
+        flags = kinds()[c if plain else np.minimum(c, 0xFFFF)]
+        level[1:-1] = pair_levels()[(flags[:-1] << 4) | flags[1:]]
+        breaks = np.flatnonzero(flags & 2)
+        if len(breaks):
+            gaps = np.flatnonzero(breaks[1:] != breaks[:-1] + 1)
+            first, ends = np.concatenate([[0], gaps + 1]), breaks[np.concatenate([gaps, [len(breaks) - 1]])]
+            level[ends[np.add.reduceat(c[breaks] == 10, first, dtype=np.int64) >= 2] + 1] = PARAGRAPH  # two line feeds in a run of line ends
     level[0] = level[-1] = PARAGRAPH
-    out = np.full(int(at[-1]) + 1, HARD)
-    out[at] = level
+    if plain:
+        return level
+    raw = np.frombuffer(text.encode(), np.uint8)
+    out = np.full(len(raw) + 1, HARD, np.int8)
+    out[np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))] = level
     return out
 
 
+def token_levels(texts: list[str], ids: list[np.ndarray], size: np.ndarray) -> tuple[bytes, list[tuple[np.ndarray, np.ndarray]]]:
+    """The texts' bytes one after another, and for each text the offset there and the boundary level before each of its tokens
+    and after the last. The texts are parted by a character that is no boundary, and looked at all at once."""
+    joined = "\0".join(texts)
+    n = np.array([len(x) for x in ids])
+    first = np.concatenate([[0], np.cumsum(n + 1)])
+    steps = np.ones(first[-1], np.int64)
+    inner = np.ones(first[-1], bool)
+    inner[first[:-1]] = False
+    steps[inner] = size[np.concatenate(ids)]
+    steps[0] = 0
+    at = np.cumsum(steps)
+    levels = boundary_levels(joined)[at]
+    levels[first[:-1]] = levels[first[1:] - 1] = PARAGRAPH
+    return joined.encode(), [(at[a:b], levels[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+
+
 class boundaries(dict):
     """Sorted places of the boundaries of each kind or a stronger one; made when first asked for."""
 
@@ -78,16 +102,16 @@ def cut_points(levels: np.ndarray, limit: int, overlap: int, sorted_at: boundari
     """
     n, start, out = len(levels) - 1, 0, []
     sorted_at = sorted_at or boundaries(levels)
-
-    def last(kind: int, after: int, upto: int) -> int:
-        x = sorted_at[kind]
-        i = bisect_right(x, upto) - 1
-        return x[i] if i >= 0 and x[i] > after else -1
-
     while n - start > limit:
         upto, half, least = start + limit, start + max(limit // 2, overlap), start + overlap
-        tries = [(k, half) for k in (PARAGRAPH, LINE, SENTENCE, WORD)] + [(WORD, least), (CHAR, least)]
-        end = next((e for k, after in tries if (e := last(k, after, upto)) >= 0), upto)
+        for kind, after in ((PARAGRAPH, half), (LINE, half), (SENTENCE, half), (WORD, half), (WORD, least), (CHAR, least)):
+            x = sorted_at[kind]
+            i = bisect_right(x, upto)
+            if i and x[i - 1] > after:
+                end = x[i - 1]
+                break
+        else:
+            end = upto
         out.append((start, end, LEVELS[levels[end]]))
         start = end - overlap
     return [*out, (start, n, "end")]
@@ -118,19 +142,24 @@ def split_long(df: DataFrame, limits: list[tuple[int, int, int]], key: str = "do
         size = np.zeros(max(ranks(path).values()) + 1, np.int64)
         for t, i in ranks(path).items():
             size[i] = len(t)
-        for batch in it:
-            keys, made = batch.column("key"), Pieces()
-            for row, (t, given) in enumerate(zip(batch.column("text"), batch.column("ids"))):
-                t = t.as_py()
-                ids = np.asarray(given.values if given.is_valid else encode_cut(t, path), np.int32)
-                if len(ids) <= least:
-                    continue
-                at, raw = np.concatenate([[0], np.cumsum(size[ids])]), t.encode()
-                levels = boundary_levels(t)[at]
+        def cut(group: list[tuple[int, str, np.ndarray]], made: Pieces) -> None:
+            raw, seen = token_levels([t for _, t, _ in group], [ids for _, _, ids in group], size)
+            for (row, _, ids), (at, levels) in zip(group, seen):
                 places = boundaries(levels)
                 for lid, most, over in limits:
                     if len(ids) > most:
                         made.add(lid, row, ids, raw, at, levels, cut_points(levels, most, over, places))
+
+        for batch in it:
+            keys, made, group, waiting = batch.column("key"), Pieces(), [], 0
+            for row, (t, given) in enumerate(zip(batch.column("text").to_pylist(), batch.column("ids"))):
+                ids = np.asarray(given.values if given.is_valid else encode_cut(t, path), np.int32)
+                if len(ids) > least:
+                    group.append((row, t, ids))
+                    waiting += len(ids)
+                if waiting > 1 << 18 or group and row == len(keys) - 1:
+                    cut(group, made)
+                    group, waiting = [], 0
                 if made.tokens > 1 << 20:
                     yield made.batch(keys)
                     made = Pieces()
@@ -147,14 +176,15 @@ class Pieces:
         self.tokens, self.numbers, self.cuts, self.ids, self.texts = 0, [], [], [], []
 
     def add(self, limit: int, row: int, ids: np.ndarray, raw: bytes, at: np.ndarray, levels: np.ndarray, points: list[tuple[int, int, str]]) -> None:
-        where, torn = at.tolist(), (levels == HARD).tolist()
-        for no, (a, b, cut) in enumerate(points):
+        start, end = np.array([(a, b) for a, b, _ in points]).T
+        torn = ((levels[start] == HARD) | (levels[end] == HARD)).tolist()
+        for no, ((a, b, cut), x, y, hard) in enumerate(zip(points, at[start].tolist(), at[end].tolist(), torn)):
             self.numbers.append((limit, row, no, a, b))
             self.cuts.append(cut)
             self.ids.append(ids[a:b])
-            part = raw[where[a] : where[b]]
-            self.texts.append(part.decode(errors="replace").encode() if torn[a] or torn[b] else part)
-            self.tokens += b - a
+            part = raw[x:y]
+            self.texts.append(part.decode(errors="replace").encode() if hard else part)
+        self.tokens += int((end - start).sum())
 
     def batch(self, keys: pa.Array) -> pa.RecordBatch:
         limit, row, no, start, end = (pa.array(c) for c in np.array(self.numbers, np.int32).T.copy())
