@@ -81,6 +81,54 @@ def near_pairs(evaluation: DataFrame, training: DataFrame, max_mean: float = 4.0
     return b.where(gap <= F.lit(max_mean * CELLS)).select("eval_id", "train_id")
 
 
+def content_chunks(cells: Column, step: int = 16, window: int = 4, mean: int = 8, least: int = 4) -> Column:
+    """The chunks of an array of numbers as arrays, in order; null for null, for an empty array and for one with a null in it.
+
+    Values are normalised to multiples of step. A rolling hash of the last ``window`` values marks, by content alone, one
+    place in ``mean`` as a cut; a cut closer than ``least`` values to the one before is passed over. Joined together the
+    chunks are the normalised array, so the same stretch gives the same chunks wherever it stands.
+    """
+    plain = F.transform(cells, lambda x: F.floor(x / F.lit(step)).cast("bigint"))
+    weights = [17**k for k in range(window)]
+    rolled = lambda a, i: reduce(lambda x, y: x + y, [F.element_at(a, (i - k).cast("int")) * w for k, w in enumerate(weights)])
+    marked = lambda a: F.filter(F.sequence(F.lit(window), F.size(a) - 1), lambda i: F.pmod(rolled(a, i) * 2654435761, F.lit(1 << 32)) < (1 << 32) // mean)
+    places = F.when(F.size(plain) > window, marked(plain)).otherwise(F.array().cast("array<int>"))
+    cuts = F.aggregate(places, F.array(F.lit(0)), lambda seen, c: F.when(c - F.element_at(seen, -1) >= least, F.concat(seen, F.array(c))).otherwise(seen))
+    ends = F.concat(F.slice(cuts, 2, F.size(cuts)), F.array(F.size(plain)))
+    whole = cells.isNotNull() & (F.size(cells) > 0) & ~F.exists(cells, lambda x: x.isNull())
+    return F.when(F.coalesce(whole, F.lit(False)), F.zip_with(cuts, ends, lambda a, b: F.slice(plain, a + 1, b - a)))
+
+
+def chunk_overlaps(evaluation: DataFrame, training: DataFrame, **cut: int) -> DataFrame:
+    """(id, cells, shared, overlap) of each evaluation row: its values, those in chunks that some training row has too, and
+    their share. Both sides: id, cells (array of numbers).
+
+    Rows are normalised and cut by content (content_chunks, whose settings ``cut`` gives), the digests of the chunks are joined
+    across the sides (distinct ones of training; a chunk in very many evaluation rows is salted), and the lengths of the
+    chunks that meet are summed. The work grows with the chunks, not with the pairs. A digest is a 128-bit hash, so that
+    different chunks practically never meet. Rows without values share nothing: cells 0, overlap null. Repeated ids give a
+    row each time they come with the same values, summed; empty tables give an empty result, or nothing shared.
+    """
+    digest = lambda c: F.struct(F.xxhash64(c).alias("x"), F.xxhash64(F.lit("2"), c).alias("y"), F.size(c).alias("n"))
+    each = lambda df: df.select("id", F.explode_outer(content_chunks(F.col("cells"), **cut)).alias("c")).select("id", digest(F.col("c")).alias("d"), F.coalesce(F.when(F.size("c") > 0, F.size("c")), F.lit(0)).alias("n"))
+    own = stage(each(evaluation), "chunks")
+    known = each(training).where("n > 0").select("d").distinct().withColumn("met", F.lit(True))
+    met = salted_join(own, known, ["d"], "left")
+    got = met.groupBy("id").agg(F.sum("n").alias("cells"), F.sum(F.when(F.col("met") & (F.col("n") > 0), F.col("n")).otherwise(0)).alias("shared"))
+    return got.withColumn("overlap", F.try_divide("shared", "cells"))
+
+
+def cross_split_counts(rows: DataFrame, key: str = "sha256", max_mean: float = 4.0) -> DataFrame:
+    """(id, same, near) of each evaluation row with a partner: how many training rows have its key, and how many others
+    near-same thumbs: the numbers of cross_split_pairs, without the pairs of equal keys themselves."""
+    e, r = rows.where(F.col("side").isNotNull() & (F.col("side") != "train")), rows.where(F.col("side") == "train")
+    near = near_pairs(e, r, max_mean).join(e.select(F.col("id").alias("eval_id"), F.col(key).alias("_a")), "eval_id").join(r.select(F.col("id").alias("train_id"), F.col(key).alias("_b")), "train_id")
+    near = near.where("_a is null or _b is null or _a <> _b").select("eval_id", "train_id").distinct().groupBy(F.col("eval_id").alias("id")).agg(F.count(F.lit(1)).alias("near"))
+    sizes = r.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("same"))
+    same = salted_join(stage(e.where(F.col(key).isNotNull()).select("id", key), "keys"), sizes, [key]).select("id", "same")
+    return same.join(near, "id", "full").select("id", F.coalesce("same", F.lit(0)).alias("same"), F.coalesce("near", F.lit(0)).alias("near"))
+
+
 def cross_split_pairs(rows: DataFrame, key: str = "sha256", max_mean: float = 4.0) -> DataFrame:
     """(eval_id, train_id): the pairs of an evaluation and a training row with the same key or near-same thumbs.
 

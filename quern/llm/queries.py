@@ -134,24 +134,40 @@ def _p4_rows(spark: SparkSession, d: str) -> DataFrame:
     return stage(rows.select(F.col("image_id").alias("id"), "side", "sha256", "thumb", K("source_dataset").alias("source"), K("scene_id").alias("scene")), "sides")
 
 
-@query(r"""WITH n AS (SELECT DISTINCT spelling, side FROM split_names), i AS (SELECT image_id, sha256, thumb, side FROM (SELECT *, lower(trim(CASE
+_PAIRS = r"""WITH n AS (SELECT DISTINCT spelling, side FROM split_names), i AS (SELECT image_id, sha256, thumb, source_dataset, scene_id, side FROM (SELECT *, lower(trim(CASE
   WHEN regexp_full_match(aif_ref, '[^#]+#[^\[\]]+\[[0-9]+\]\..+') THEN regexp_extract(aif_ref, '#([^\[\]]+)\[', 1) ELSE source_split END, E' \t\r\n')) AS spelling FROM aif_images) JOIN n USING (spelling)),
 a AS (FROM i WHERE side <> 'train'), b AS (FROM i WHERE side = 'train'), pairs AS (
-SELECT a.image_id AS x, b.image_id AS y FROM a JOIN b USING (sha256)
-UNION SELECT a.image_id, b.image_id FROM a JOIN b ON abs(list_sum(a.thumb) - list_sum(b.thumb)) <= 256 AND list_sum(list_transform(list_zip(a.thumb, b.thumb), lambda z: abs(z[1] - z[2]))) <= 256)
-SELECT least(x, y) AS image_a, greatest(x, y) AS image_b FROM pairs""")
+SELECT a.image_id AS x, b.image_id AS y, a.image_id AS e, true AS same FROM a JOIN b USING (sha256)
+UNION SELECT a.image_id, b.image_id, a.image_id, coalesce(a.sha256 = b.sha256, false) FROM a JOIN b ON abs(list_sum(a.thumb) - list_sum(b.thumb)) <= 256 AND list_sum(list_transform(list_zip(a.thumb, b.thumb), lambda z: abs(z[1] - z[2]))) <= 256)
+"""
+#: The same chunks as content_chunks cuts, by their values.
+_CHUNKS = """, q AS (SELECT image_id, side, list_transform(thumb, lambda v: v // 16) AS q FROM i WHERE thumb IS NOT NULL),
+cut AS (SELECT image_id, side, q, list_reduce(list_transform(list_prepend(0, list_filter(range(4, 64), lambda i: (q[i] + 17 * q[i - 1] + 289 * q[i - 2] + 4913 * q[i - 3]) * 2654435761 % 4294967296 < 536870912)), lambda i: [i]),
+  lambda s, i: CASE WHEN i[1] - s[len(s)] >= 4 THEN list_concat(s, i) ELSE s END) AS cuts FROM q),
+chunk AS (SELECT image_id, side, q[k + 1 : coalesce(cuts[j + 1], 64)] AS c FROM (SELECT *, unnest(cuts) AS k, generate_subscripts(cuts, 1) AS j FROM cut)),
+over AS (SELECT image_id, sum(CASE WHEN c IN (SELECT c FROM chunk WHERE side = 'train') THEN len(c) ELSE 0 END) AS shared, sum(len(c)) AS cells FROM chunk WHERE side <> 'train' GROUP BY 1)
+"""
+
+
+@query(_PAIRS + "SELECT least(x, y) AS image_a, greatest(x, y) AS image_b FROM pairs")
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = leaks.cross_split_pairs(_p4_rows(spark, d))
     return pairs.select(F.least("eval_id", "train_id").alias("image_a"), F.greatest("eval_id", "train_id").alias("image_b")).distinct()
 
 
-@query()
+@query(_PAIRS + _CHUNKS + f""", per AS (SELECT e, count(*) FILTER (same) AS same, count(*) FILTER (NOT same) AS near FROM pairs GROUP BY 1)
+SELECT side, {_K.format('source_dataset')} AS source, {_K.format('scene_id')} AS scene, count(*) AS images, count(e) AS leaked, CAST(coalesce(sum(same), 0) AS BIGINT) AS same_pairs, CAST(coalesce(sum(near), 0) AS BIGINT) AS near_pairs,
+  round(sum(shared) / sum(cells), 9) AS overlap FROM a LEFT JOIN per ON e = image_id LEFT JOIN over USING (image_id) GROUP BY 1, 2, 3 HAVING count(e) > 0""")
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    """Evaluation images with partners in training, per side, source and scene; overlap: the share of their cells in chunks that training has."""
     rows = _p4_rows(spark, d)
-    pairs = stage(leaks.cross_split_pairs(rows), "pairs")
-    hit = pairs.groupBy("eval_id").agg(F.count(F.lit(1)).alias("partners"))
-    e = rows.where(F.col("side").isNotNull() & (F.col("side") != "train")).join(hit, F.col("id") == F.col("eval_id"), "left")
-    return e.groupBy("side", "source", "scene").agg(F.count(F.lit(1)).alias("images"), F.count("partners").alias("leaked"), F.coalesce(F.sum("partners"), F.lit(0)).alias("pairs")).where("leaked > 0")
+    e, r = rows.where(F.col("side").isNotNull() & (F.col("side") != "train")), rows.where(F.col("side") == "train")
+    cells = lambda df: df.select("id", F.col("thumb").alias("cells"))
+    hit = leaks.cross_split_counts(rows).withColumn("hit", F.lit(1))
+    j = e.join(hit, "id", "left").join(leaks.chunk_overlaps(cells(e), cells(r)), "id", "left")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    out = j.groupBy("side", "source", "scene").agg(F.count(F.lit(1)).alias("images"), F.count("hit").alias("leaked"), total("same").alias("same_pairs"), total("near").alias("near_pairs"), F.round(F.try_divide(F.sum("shared"), F.sum("cells")), 9).alias("overlap"))
+    return out.where("leaked > 0")
 
 
 @query()

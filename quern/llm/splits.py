@@ -97,17 +97,23 @@ def _anneal(sizes: np.ndarray, labels: np.ndarray, start: np.ndarray, want: np.n
 
 
 def _search(components: DataFrame, want_share: np.ndarray, chains: int, moves: int, seed: int) -> DataFrame:
-    """(component, side_no) by the best of the chains of each block; components: component, n, labels array, block, start.
+    """(component, side_no) by the best of the chains of each block; components: component, n, labels (numbers) and counts of
+    these, block, start.
 
     want_share: sides x (1 + labels), the rows each side should still get, of all blocks together; a block takes its part in
-    proportion to its own rows.
+    proportion to its own rows, and looks at the labels it has.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("component", ignore_index=True)
-        sizes, labels = pdf["n"].to_numpy(float), np.array(pdf["labels"].tolist(), float).reshape(len(pdf), -1)
+        sizes = pdf["n"].to_numpy(float)
+        row = np.repeat(np.arange(len(pdf)), pdf["labels"].map(len))
+        known, at = np.unique(np.concatenate(pdf["labels"].tolist()).astype(int), return_inverse=True)
+        labels = np.zeros((len(pdf), len(known)))
+        np.add.at(labels, (row, at), np.concatenate(pdf["counts"].tolist()))
         own = np.concatenate([[sizes.sum()], labels.sum(0)])
-        want = want_share / np.maximum(want_share.sum(0), 1e-9) * own
+        open_share = want_share[:, np.concatenate([[0], known + 1])]
+        want = open_share / np.maximum(open_share.sum(0), 1e-9) * own
         cost, side = _anneal(sizes, labels, pdf["start"].to_numpy(int), want, max(6000, moves * len(pdf)), seed * 1009 + int(pdf["chain"][0]))
         return pd.DataFrame({"block": [pdf["block"][0]], "chain": [pdf["chain"][0]], "cost": [cost], "names": [pdf["component"].tolist()], "sides": [side.tolist()]})
 
@@ -117,41 +123,51 @@ def _search(components: DataFrame, want_share: np.ndarray, chains: int, moves: i
     return best.select(F.inline(F.arrays_zip("b.names", "b.sides"))).toDF("component", "side_no")
 
 
-def split_components(components: DataFrame, targets: list[tuple[str, float]], seed: int = 17, chains: int = 2, moves: int = 6, block: int = 2048, top_labels: int = 16) -> DataFrame:
+def split_components(components: DataFrame, targets: list[tuple[str, float]], seed: int = 17, chains: int = 2, moves: int = 6, block: int = 2048, own_labels: int = 1000, pools: int = 64) -> DataFrame:
     """(component, side): a side for every component, near the wanted shares of rows in total and within each label.
 
     components: (component string, label string, n), a row for each component and label, staged. Component swap search: every
     component starts at the side its hash gives; then simulated annealing moves or exchanges whole components to lower the
     deviation of the sides' sizes and label counts; several chains run side by side, of ``moves`` steps for each component,
-    and the best is kept. Components with at
-    least a thousandth of all rows (so at most a thousand) are searched first, together; the others in blocks of about
-    ``block`` components, each aiming at its part of what the large ones left open. No task holds more than a block.
-
-    The top_labels most frequent labels are balanced; a null label counts as one. Shares are taken relative to their sum; a
-    side of share 0 or null gets nothing. A component too large for every side goes where the deviation is least. An empty
-    table gives an empty result; targets without a positive share are an error.
+    and the best is kept. Components with at least a thousandth of all rows (so at most a thousand) are searched first,
+    together; the others in blocks of about ``block`` components, each aiming at its part of what the large ones left open.
+    No task holds more than a block.
+
+    Every label counts in the cost, a null one too: the own_labels most frequent ones each for itself, the others summed in
+    ``pools`` groups by a hash of their name, so that what a task or the driver holds of labels is bounded. Shares are taken
+    relative to their sum; a side of share 0 or null gets nothing. A component too large for every side goes where the
+    deviation is least. An empty table gives an empty result; targets without a positive share are an error.
     """
     names = [s for s, f in targets if f is not None and f > 0]
     share = np.array([f for _, f in targets if f is not None and f > 0], float)
     if not names:
         raise ValueError("no side has a positive share")
     share = share / share.sum()
-    label = F.coalesce("label", F.lit("\0"))
-    known = components.groupBy(label.alias("l")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "l").limit(top_labels).collect()
-    total = float(components.agg(F.sum("n")).first()[0] or 0)
-    counts = [F.sum(F.when(label == r["l"], F.col("n")).otherwise(0)).cast("double") for r in known] or [F.lit(0.0)]
+    spark, label = components.sparkSession, F.coalesce("label", F.lit("\0"))
+    top = components.groupBy(label.alias("l")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "l").limit(own_labels).collect()
+    known = F.broadcast(spark.createDataFrame([(r["l"], i) for i, r in enumerate(top)], "l string, no int"))
+    number = F.coalesce("no", (F.lit(len(top)) + F.pmod(F.xxhash64("l"), F.lit(pools))).cast("int")).alias("no")
+    rows = components.select("component", label.alias("l"), "n").join(known, "l", "left").select("component", number, "n")
+    per_label = rows.groupBy("component", "no").agg(F.sum("n").cast("double").alias("n"))
     u = unit(f"side{seed}", F.col("component"))
     start = sum([(u >= float(c)).cast("int") for c in np.cumsum(share)[:-1]], F.lit(0))
-    whole = stage(components.groupBy("component").agg(F.sum("n").cast("double").alias("n"), F.array(*counts).alias("labels")).withColumn("start", start), "components")
+    of = per_label.groupBy("component").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("no", "n"))).alias("x"))
+    whole = stage(of.select("component", "n", F.col("x.no").alias("labels"), F.col("x.n").alias("counts"), start.alias("start")), "components")
+    counts = np.zeros(1 + len(top) + pools)
+    each = whole.select(F.explode(F.arrays_zip("labels", "counts")).alias("x")).groupBy("x.labels").agg(F.sum("x.counts").alias("n"))
+    for r in each.collect():
+        counts[1 + r["labels"]] = r["n"]
+    counts[0] = counts[1:].sum()
     blocks = max(1, -(-whole.count() // block))
-    want = share[:, None] * np.array([total, *([float(r["n"]) for r in known] or [0.0])])[None, :]
-    large = max(2.0, total / 1000)
+    want = share[:, None] * counts[None, :]
+    large = max(2.0, counts[0] / 1000)
     big = whole.where(F.col("n") >= large).withColumn("block", F.lit(0).cast("bigint"))
     rest = whole.where(F.col("n") < large).withColumn("block", F.pmod(F.xxhash64("component", F.lit("block")), F.lit(blocks)))
     first = stage(_search(big, want, chains * 2, 2 * moves, seed), "large")
-    took = first.join(big, "component").groupBy("side_no").agg(F.array(F.sum("n"), *[F.sum(F.col("labels")[i]) for i in range(len(want[0]) - 1)]).alias("x"))
+    took = first.join(big, "component").select("side_no", F.explode(F.arrays_zip("labels", "counts")).alias("x")).groupBy("side_no", "x.labels").agg(F.sum("x.counts").alias("n"))
     for r in took.collect():
-        want[r["side_no"]] = np.maximum(want[r["side_no"]] - np.array(r["x"]), 0)
+        want[r["side_no"], [0, 1 + r["labels"]]] -= r["n"]
+    want = np.maximum(want, 0)
     out = first.unionByName(_search(rest, want, chains, moves, seed))
     return out.select("component", F.element_at(F.array(*[F.lit(x) for x in names]), F.col("side_no") + 1).alias("side"))
 

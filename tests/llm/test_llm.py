@@ -117,9 +117,62 @@ def test_annealing_reaches_the_shares(spark):
         splits.split_components(comp, [("train", 0.0)])
 
 
+def test_every_label_is_balanced(spark):
+    """Sixty labels: each near the shares if it counts for itself; on average, if most are summed in pools (those of one pool
+    are balanced together; a hash alone leaves them 0.045 away on average)."""
+    random.seed(6)
+    rows = [(f"k{i}", f"l{i % 60}" if i % 61 else None, random.randint(1, 5)) for i in range(6000)]
+    comp = stage(spark.createDataFrame(rows, "component string, label string, n int"))
+    for own in (5, 1000):
+        got = {r["component"]: r["side"] for r in splits.split_components(comp, [("train", 0.5), ("val", 0.5)], own_labels=own, pools=200).collect()}
+        total, train = Counter(), Counter()
+        for k, label, n in rows:
+            total[label] += n
+            train[label] += n * (got[k] == "train")
+        off = [abs(train[x] / total[x] - 0.5) for x in total]
+        assert sum(off) / len(off) < 0.025 and (own == 5 or max(off) < 0.05)
+
+
 # 4: leaks
 
 
+def _python_chunks(cells, step=16, window=4, mean=8, least=4):
+    q, cuts = [x // step for x in cells], [0]
+    for i in range(window, len(q)):
+        h = sum(q[i - 1 - k] * 17**k for k in range(window)) * 2654435761 % (1 << 32)
+        if h < (1 << 32) // mean and i - cuts[-1] >= least:
+            cuts.append(i)
+    return [tuple(q[a:b]) for a, b in zip(cuts, [*cuts[1:], len(q)])]
+
+
+def test_chunk_overlaps_against_brute_force(spark):
+    random.seed(12)
+    pool = [[random.randint(0, 255) for _ in range(40)] for _ in range(6)]
+    make = lambda: [random.randint(0, 255) for _ in range(random.randint(0, 9))] + random.choice(pool) + [7] * random.randint(0, 30)
+    odd = [None, [], [1, None, 3], [5], [1, 2, 3, 4]]
+    a, b = [(i, x) for i, x in enumerate([make() for _ in range(150)] + odd)], [(i, x) for i, x in enumerate([make() for _ in range(20)] + odd[:4])]
+    known = {c for _, x in b if x and None not in x for c in _python_chunks(x)}
+    df = lambda rows: spark.createDataFrame(rows, "id int, cells array<int>")
+    got = {r["id"]: r for r in leaks.chunk_overlaps(df(a), df(b)).collect()}
+    assert set(got) == {i for i, _ in a}
+    for i, x in a:
+        chunks = _python_chunks(x) if x and None not in x else []
+        assert sum(map(len, chunks), 0) == got[i]["cells"] and got[i]["shared"] == sum(len(c) for c in chunks if c in known)
+        assert (got[i]["overlap"] is None) == (not chunks)
+    assert sum(0 < r["shared"] < r["cells"] for r in got.values()) > 50
+    assert leaks.chunk_overlaps(df([]), df(b)).count() == 0 and {r["shared"] for r in leaks.chunk_overlaps(df(a), df([])).collect()} == {0}
+
+
+def test_counts_are_those_of_the_pairs(spark):
+    random.seed(15)
+    rows = [(i, random.choice(["train", "train", "val", None]), random.choice([None, "hot", f"h{i % 9}"]), [random.choice([0, 3]) + 40 * (i % 5)] * 64) for i in range(120)]
+    df = stage(spark.createDataFrame(rows, "id int, side string, sha256 string, thumb array<int>"))
+    want = Counter(r["eval_id"] for r in leaks.cross_split_pairs(df).collect())
+    got = {r["id"]: (r["same"], r["near"]) for r in leaks.cross_split_counts(df).collect()}
+    key, train = {r[0]: r[2] for r in rows}, Counter(r[2] for r in rows if r[1] == "train" and r[2])
+    assert {k: sum(v) for k, v in got.items()} == dict(want) and all(v[0] == train[key[k]] for k, v in got.items())
+
+
 def test_near_pairs_lose_nothing(spark):
     random.seed(8)
     rows, i = [], 0
