@@ -116,6 +116,22 @@ def named_pairs(c: Column) -> Column:
     return F.str_to_map(c, F.lit(","), F.lit("="))
 
 
+def chosen(c: Column, include: list[str], exclude: list[str]) -> Column:
+    """Whether a text holds any of the one substrings (or there are none to hold) and none of the others; null doesn't."""
+    held = lambda words: F.coalesce(*[F.nullif(F.contains(c, F.lit(w)), F.lit(False)) for w in words], F.lit(False))
+    return c.isNotNull() & (held(include) if include else F.lit(True)) & ~held(exclude)
+
+
+def first_substring(c: Column, labels: dict[str, str]) -> Column:
+    """The label of the first of the substrings, in their order, that a text holds; null if none."""
+    return F.coalesce(*[F.when(F.contains(c, F.lit(s)), label) for s, label in labels.items()])
+
+
+def metadata_json(parts: dict[str, Column]) -> Column:
+    """A JSON object of the parts in the order of their names, nulls kept; NaN and infinite numbers come as texts."""
+    return F.to_json(F.struct(*[parts[k].alias(k) for k in sorted(parts)]), {"ignoreNullFields": "false"})
+
+
 def known_prefix(df, name: str, ids, id_column: str):
     """df with the longest known id that is the name itself or the name without some of its last _parts; null if none is."""
     cand = F.transform(F.sequence(F.lit(1), F.size(F.split(name, "_"))), lambda k: F.concat_ws("_", F.slice(F.split(name, "_"), 1, k)))

@@ -50,6 +50,13 @@ def binned_profile(df: DataFrame, by: str, value: str, edges: list[float], qs: d
     return q.select("bin_no", at(1).alias("lo"), at(2).alias("hi"), "n", (F.col("n") / F.lit(float(max(1, all_of)))).alias("share"), *qs)
 
 
+def filter_sweep_quantiles(df: DataFrame, by: str, value: str, cutoffs: list[float], qs: dict[str, float]) -> DataFrame:
+    """(cutoff, n, quantiles): for each cutoff on ``by`` the exact quantiles of the values of the rows at or above it."""
+    ok = df.where(finite(F.col(by)) & finite(F.col(value)))
+    met = F.array_compact(F.array(*[F.when(F.col(by) >= c, F.lit(float(c))) for c in cutoffs]))
+    return quantiles(ok.select(F.explode(met).alias("cutoff"), F.col(value).cast("double").alias("_v0")), ["cutoff"], "_v0", qs)
+
+
 def filter_sweep(df: DataFrame, by: str, value: str, cutoffs: list[float], limit: float) -> DataFrame:
     """(cutoff, kept, mean_value, exceed): for each cutoff on ``by`` the share of rows at or above it, their mean value and the
     share of them above limit; one scan."""

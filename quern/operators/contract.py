@@ -61,7 +61,7 @@ def histogram(df: DataFrame, by: str, n: str = "n", share: str = "share") -> Dat
 def keep_calibrated(df: DataFrame, source: str, score: str, least: float, k: str) -> DataFrame:
     """Rows with score >= least and k > 0; a source without any positive score passes whole. NaN is no measurement.
 
-    A source that loses all its rows is an error for the caller to raise; here it is simply absent.
+    A source that loses all its rows is absent here; emptied_sources() names it.
     """
     positive_score = (F.col(score) > 0) & ~F.isnan(score)
     measured = df.groupBy(source).agg(F.coalesce(F.bool_or(positive_score), F.lit(False)).alias("_measured"))
@@ -70,6 +70,14 @@ def keep_calibrated(df: DataFrame, source: str, score: str, least: float, k: str
     return met.where(~F.col("_measured") | good).select(*df.columns)
 
 
+def emptied_sources(df: DataFrame, source: str, score: str, least: float, k: str) -> DataFrame:
+    """(source, rows) of the measured sources of which keep_calibrated keeps nothing: an error for most callers."""
+    good = F.coalesce((F.col(score) >= least) & ~F.isnan(score) & (F.col(k) > 0), F.lit(False))
+    measured = (F.col(score) > 0) & ~F.isnan(score)
+    per = df.where(F.col(source).isNotNull()).groupBy(source).agg(F.count(F.lit(1)).alias("rows"), F.count_if(good).alias("_kept"), F.count_if(measured).alias("_measured"))
+    return per.where("_measured > 0 and _kept = 0").select(source, "rows")
+
+
 def positive(c: Column | str, slug: str, zero: bool = False) -> tuple[Column, Column]:
     """(value, error): c as a finite number > 0 (>= 0 with zero), or null and the slug. c may be text."""
     c = F.col(c) if isinstance(c, str) else c

@@ -287,14 +287,13 @@ def edge_band(z: np.ndarray, threshold: float = 0.08, radius: int = 1) -> np.nda
     return dilate(depth_edges(z, threshold), radius)
 
 
-def token_weights(border: np.ndarray, lam: float, theta: float, token: int = 16, pool: str = "max", normalise: bool = True) -> np.ndarray:
-    """Weight of each token block: 1 + lam where its pooled border exceeds theta (theta 0: 1 + lam times it), divided by the
-    mean over the whole batch if asked."""
+def token_weights(border: np.ndarray, lam: float, theta: float, token: int = 16, pool: str = "max") -> np.ndarray:
+    """Weight of each token block: 1 + lam where its pooled border exceeds theta (theta 0: 1 + lam times it). Divide by the mean
+    over the table, an aggregate: an Arrow batch is no unit of it."""
     n, h, w = border.shape
     blocks = border.reshape(n, h // token, token, w // token, token)
     o = blocks.max((2, 4)) if pool == "max" else blocks.mean((2, 4))
-    x = 1 + lam * (o if theta == 0 else (o > theta))
-    return x / x.mean() if normalise else x
+    return 1 + lam * (o if theta == 0 else (o > theta))
 
 
 def losses(pred: np.ndarray, target: np.ndarray, step: float = 1.0) -> dict[str, np.ndarray]:

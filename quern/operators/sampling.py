@@ -18,13 +18,14 @@ def scene_side(scene: Column, val_fraction: float, salt: str) -> Column:
     return F.when(scene.isNotNull(), F.when(bucket(salt, scene) < round(val_fraction * 10_000), "val").otherwise("train"))
 
 
-def side_from_source(split: Column, names: dict[str, str]) -> Column:
-    """The side of a source's own split name, trimmed and in lower case; null where it is unknown or missing."""
+def side_from_source(split: Column, names: dict[str, str], strict: bool = False) -> Column:
+    """The side of a source's own split name, trimmed and in lower case; null where it is unknown or missing, or with strict an
+    error when such a row is read."""
     spelled = F.lower(F.btrim(split))
     out = F.lit(None).cast("string")
     for spelling, side in names.items():
         out = F.when(spelled == spelling, side).otherwise(out)
-    return out
+    return F.coalesce(out, F.raise_error(F.concat(F.lit("no side for split "), F.coalesce(split, F.lit("null")))).cast("string")) if strict else out
 
 
 def pilot_groups(df: DataFrame, group: str, limit: int, seed: str) -> DataFrame:
@@ -74,8 +75,11 @@ def widened_draw(q: Column, v: Column, u: Column, widen: float = 0.25) -> tuple[
     return F.greatest(wide, floor), wide < floor
 
 
-def route_weights(df: DataFrame, route: str, mass: dict[str, float]) -> DataFrame:
-    """df with weight = mass of its route / rows of its route; rows of a route without a mass have a null weight."""
+def route_weights(df: DataFrame, route: str, mass: dict[str, float], strict: bool = False) -> DataFrame:
+    """df with weight = mass of its route / rows of its route; rows of a route without a mass have a null weight, or with strict
+    are an error."""
+    if strict and (unknown := df.where(~F.coalesce(F.col(route).isin(list(mass)), F.lit(False))).select(route).limit(1).collect()):
+        raise ValueError(f"no weight for route {unknown[0][0]}")
     sizes = df.groupBy(route).agg(F.count(F.lit(1)).alias("_n"))
     masses = F.create_map(*[x for r, m in mass.items() for x in (F.lit(r), F.lit(float(m)))])
     return df.join(broadcast_checked(sizes), route).withColumn("weight", F.try_element_at(masses, F.col(route)) / F.col("_n")).drop("_n")

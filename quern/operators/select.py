@@ -92,3 +92,24 @@ def spread_rows(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     step = max(1, total // max(1, n))
     at = row_numbers(rows.withColumn("_all", F.lit(0)), ["_all"], order, "_rn").drop("_all")
     return at.where(((F.col("_rn") - 1) % step == 0) & ((F.col("_rn") - 1) / step < n)).withColumnRenamed("_rn", "position")
+
+
+def limit_accepted(df: DataFrame, accepted: Column, order: list[str], n: int) -> DataFrame:
+    """The first n accepted rows in order, with their number as ``accepted``: a limit that rows which are passed over don't use up.
+
+    A null condition isn't accepted. End the order in a unique column.
+    """
+    ok = df.where(F.coalesce(accepted, F.lit(False)))
+    best = ok.orderBy(*order).limit(n)
+    return row_numbers(best.withColumn("_one", F.lit(0)), ["_one"], [F.col(c) for c in order], "accepted").drop("_one")
+
+
+def stem(path: Column) -> Column:
+    """The last part of a path without its last suffix."""
+    return F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1)
+
+
+def pair_by_stem(a: DataFrame, path_a: str, b: DataFrame, path_b: str) -> DataFrame:
+    """Rows of a and b whose paths have the same stem, with ``stem``; null and empty paths pair with nothing."""
+    x, y = a.withColumn("stem", stem(F.col(path_a))).where("stem <> ''"), b.withColumn("_stem", stem(F.col(path_b)))
+    return x.join(y, F.col("stem") == F.col("_stem")).drop("_stem")

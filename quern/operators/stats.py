@@ -35,6 +35,22 @@ def degenerate_reason(n: Column, distinct: Column, p01: Column, p99: Column, lea
     return F.when(n < least, "too_few_rows").when(distinct < least, "too_few_values").when((p01 <= 0) | (F.try_divide(p99, p01) < ratio), "no_spread")
 
 
+def distribution_checks(df: DataFrame, value: str, route: str, censored: str, least: int = 32, least_of_route: int = 8, most_censored: float = 0.25) -> DataFrame:
+    """(route, n, distincts, censored_share, p01, p99, reason) of the positive finite values: for all together (route null), which
+    need ``least`` rows and values, and for each route, which needs least_of_route values; a share of censored rows (null
+    counts as none) above most_censored is a reason too. Rows of a null route count in the whole only."""
+    ok = stage(df.where(finite(F.col(value)) & (F.col(value) > 0)).select(F.col(route).alias("route"), F.col(value).cast("double").alias("v"), F.coalesce(F.col(censored), F.lit(False)).alias("cens")), "values")
+    aggs = [F.countDistinct("v").alias("distincts"), F.avg(F.col("cens").cast("double")).alias("censored_share")]
+    ends = {"p01": 0.01, "p99": 0.99}
+    whole = quantiles(ok, [], "v", ends).join(F.broadcast(ok.agg(*aggs))).withColumn("route", F.lit(None).cast("string"))
+    known = ok.where("route is not null")
+    each = quantiles(known, ["route"], "v", ends).join(known.groupBy("route").agg(*aggs), "route")
+    too_many = F.when(F.col("censored_share") > most_censored, "too_many_censored")
+    whole = whole.withColumn("reason", F.coalesce(degenerate_reason(F.col("n"), F.col("distincts"), F.col("p01"), F.col("p99"), least), too_many))
+    each = each.withColumn("reason", F.coalesce(F.when(F.col("distincts") < least_of_route, "too_few_values"), too_many))
+    return whole.unionByName(each).select("route", "n", "distincts", "censored_share", "p01", "p99", "reason")
+
+
 def threshold_proposals(df: DataFrame, metric: str, value: str, percents: list[int]) -> DataFrame:
     """(metric, percent, cutoff, dropped, dropped_share): nearest-rank cutoffs of each metric and the rows below each of them."""
     ok = stage(df.where(finite(F.col(value))).select(metric, value), "measured")
@@ -60,12 +76,13 @@ def stable_threshold(df: DataFrame, score: str, good: str, precision: float) ->
 
 
 def agreement(df: DataFrame, ratio: str, scene: str) -> DataFrame:
-    """(level, n, within_10, within_25, within_50, median): agreement of a ratio with 1, by row and by the median of each scene."""
+    """(level, n, within_10, within_25, within_50, p05, median, p95): agreement of a ratio with 1, by row and by the median of
+    each scene."""
     rows = df.where(finite(F.col(ratio))).select(F.lit("row").alias("level"), F.col(ratio).alias("r"))
     scenes = quantiles(df.where(F.col(scene).isNotNull()), [scene], ratio, {"r": 0.5}).select(F.lit("scene").alias("level"), "r")
     both = stage(rows.unionByName(scenes), "ratios")
     within = [F.avg((F.abs(F.col("r") - 1) <= w / 100).cast("double")).alias(f"within_{w}") for w in (10, 25, 50)]
-    return both.groupBy("level").agg(*within).join(quantiles(both, ["level"], "r", {"median": 0.5}), "level")
+    return both.groupBy("level").agg(*within).join(quantiles(both, ["level"], "r", {"p05": 0.05, "median": 0.5, "p95": 0.95}), "level")
 
 
 def paired_counts(df: DataFrame, before: str, after: str, eps: float = 1e-9) -> DataFrame:
@@ -159,14 +176,26 @@ def size_inventory(df: DataFrame, by: str, item: str, size: str) -> DataFrame:
     return df.groupBy(by).agg(F.array_sort(F.collect_set(item)).alias("items"), F.count(F.lit(1)).alias("n"), F.sum(size).alias("total_size"))
 
 
-def moving_scale(df: DataFrame, by: str, order: str, value: str, decay: float = 0.9, jump: float = 10.0) -> DataFrame:
+def moving_scale(df: DataFrame, by: str, order: str, value: str, decay: float = 0.9, jump: float = 10.0, freeze_after: int | None = None) -> DataFrame:
     """Exponential moving average of each series in order, one fold over its values; a value of more than ``jump`` times the
-    average is held at that bound. A series is bounded by its number of steps; gives the final scale and the steps."""
+    average is held at that bound, and after freeze_after steps the scale stays as it is. A series is bounded by its number of
+    steps; gives the final scale and the steps."""
     seq = F.array_sort(F.collect_list(F.struct(F.col(order), F.col(value).cast("double").alias("v"))))
     start = F.struct(F.lit(None).cast("double").alias("s"), F.lit(0).alias("k"))
 
     def step(acc: Column, x: Column) -> Column:
         held = F.least(x["v"], F.lit(jump) * acc["s"])
-        return F.struct(F.when(acc["s"].isNull(), x["v"]).otherwise(F.lit(decay) * acc["s"] + F.lit(1 - decay) * held).alias("s"), (acc["k"] + 1).alias("k"))
+        new = F.when(acc["s"].isNull(), x["v"]).otherwise(F.lit(decay) * acc["s"] + F.lit(1 - decay) * held)
+        return F.struct((new if freeze_after is None else F.when(acc["k"] >= freeze_after, acc["s"]).otherwise(new)).alias("s"), (acc["k"] + 1).alias("k"))
 
     return df.where(finite(F.col(value))).groupBy(by).agg(F.aggregate(seq, start, step).alias("x")).select(by, F.col("x.s").alias("scale"), F.col("x.k").alias("steps"))
+
+
+def spread_by_group(df: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, n, share, mean, sd, p05, median, p95) of each group's finite values; share is that of all of them, sd is null for one
+    value. A null group counts in the shares' whole only if it has rows, under null."""
+    ok = stage(df.where(finite(F.col(value))).select(by, F.col(value).cast("double").alias("_x")), "values")
+    total = ok.agg(F.count(F.lit(1)).alias("_all"))
+    mean = ok.groupBy(F.col(by).alias("_b")).agg(F.avg("_x").alias("mean"), F.stddev_samp("_x").alias("sd"))
+    q = quantiles(ok, [by], "_x", {"p05": 0.05, "median": 0.5, "p95": 0.95})
+    return q.join(mean, F.col(by).eqNullSafe(F.col("_b"))).join(F.broadcast(total)).select(by, "n", (F.col("n") / F.col("_all")).alias("share"), "mean", "sd", "p05", "median", "p95")

@@ -121,7 +121,7 @@ def depth_validity(spark: SparkSession, d: str) -> DataFrame:
 @R.query(f"""WITH {_CELLS}, b AS (SELECT image_id, y // 4 AS ty, x // 4 AS tx, max(v) / 255.0 AS o FROM cells GROUP BY ALL), w AS (SELECT image_id, ty, tx, CASE WHEN o > 0.8 THEN 4.0 ELSE 1.0 END AS w FROM b)
 SELECT image_id, CAST(ty * 2 + tx AS INTEGER) AS token, round(w / (SELECT avg(w) FROM w), 9) AS weight FROM w""")
 def token_weights(spark: SparkSession, d: str) -> DataFrame:
-    f = arrays.raster(lambda x: kernels.token_weights(x / 255.0, 3.0, 0.8, 4, normalise=False), 8, 8, "array<double>")
+    f = arrays.raster(lambda x: kernels.token_weights(x / 255.0, 3.0, 0.8, 4), 8, 8, "array<double>")
     w = _thumbs(spark, d).select("image_id", F.posexplode(f("thumb")).alias("token", "w"))
     return w.join(F.broadcast(w.agg(F.avg("w").alias("m")))).select("image_id", "token", F.round(c("w") / c("m"), 9).alias("weight"))
 

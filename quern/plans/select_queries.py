@@ -285,6 +285,38 @@ def keep_calibrated(spark: SparkSession, d: str) -> DataFrame:
     return contract.keep_calibrated(m, "source_dataset", "calibration_ssim", 0.9, "k_value").select("row_id")
 
 
+@R.query("""SELECT source_dataset, count(*) AS rows FROM manifest WHERE source_dataset IS NOT NULL GROUP BY 1 HAVING count(*) FILTER (calibration_ssim > 0 AND NOT isnan(calibration_ssim)) > 0 AND count(*) FILTER (calibration_ssim >= 0.999 AND NOT isnan(calibration_ssim) AND k_value > 0) = 0""")
+def emptied_sources(spark: SparkSession, d: str) -> DataFrame:
+    return contract.emptied_sources(table(spark, d, "manifest"), "source_dataset", "calibration_ssim", 0.999, "k_value")
+
+
+@R.query("""WITH r AS (SELECT *, coalesce(calibration_ssim >= 0.9 AND NOT isnan(calibration_ssim), false) AS ok FROM manifest), c AS (SELECT *, count(*) FILTER (ok) OVER (ORDER BY row_id) AS upto FROM r)
+SELECT row_id, upto AS accepted FROM c WHERE ok AND upto <= 500""")
+def limit_by_accepted(spark: SparkSession, d: str) -> DataFrame:
+    ok = F.coalesce((c("calibration_ssim") >= 0.9) & ~F.isnan("calibration_ssim"), F.lit(False))
+    return select.limit_accepted(table(spark, d, "manifest").select("row_id", "calibration_ssim"), ok, ["row_id"], 500).select("row_id", "accepted")
+
+
+@R.query("""WITH a AS (SELECT DISTINCT regexp_extract(depth_ref, '([^/]+?)(\\.[^./]*)?$', 1) AS stem FROM manifest WHERE depth_ref IS NOT NULL), b AS (SELECT DISTINCT scene_id || '.npz' AS f FROM depth_encodings WHERE scene_id IS NOT NULL)
+SELECT stem, f AS other FROM a JOIN (SELECT f, regexp_extract(f, '([^/]+?)(\\.[^./]*)?$', 1) AS s FROM b) ON s = stem""")
+def pairs_by_stem(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "manifest").where("depth_ref is not null").select("depth_ref").distinct()
+    b = table(spark, d, "depth_encodings").where("scene_id is not null").select(F.concat("scene_id", F.lit(".npz")).alias("f")).distinct()
+    return select.pair_by_stem(a, "depth_ref", b, "f").select("stem", c("f").alias("other")).distinct()
+
+
+@R.query("""SELECT doc_id, CASE WHEN contains(lower(text), 'blur') THEN 'blur' WHEN contains(lower(text), 'depth') THEN 'depth' WHEN contains(lower(text), 'scene') THEN 'scene' END AS bench FROM documents
+WHERE (contains(text, 'a') OR contains(text, 'e')) AND NOT contains(text, 'zz')""")
+def ordered_bench(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "documents").where(text.chosen(c("text"), ["a", "e"], ["zz"]))
+    return x.select("doc_id", text.first_substring(F.lower("text"), {"blur": "blur", "depth": "depth", "scene": "scene"}).alias("bench"))
+
+
+@R.query("""SELECT row_id, '{"image_h":' || coalesce(image_h::VARCHAR, 'null') || ',"route":' || coalesce('"' || route || '"', 'null') || ',"valid":' || coalesce(is_valid_for_control::VARCHAR, 'null') || '}' AS doc FROM manifest""")
+def metadata_json(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "manifest").select("row_id", text.metadata_json({"valid": c("is_valid_for_control"), "route": c("route"), "image_h": c("image_h")}).alias("doc"))
+
+
 @R.query("""SELECT depth_backend, count(*) AS n FROM manifest WHERE depth_backend IS NOT NULL AND depth_backend NOT IN ('depth_pro', 'metric_v2') GROUP BY 1""")
 def unknown_vocabulary(spark: SparkSession, d: str) -> DataFrame:
     words = spark.createDataFrame([("depth_pro",), ("metric_v2",)], "word string")

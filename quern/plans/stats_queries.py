@@ -74,11 +74,11 @@ def stable_precision_threshold(spark: SparkSession, d: str) -> DataFrame:
 @R.query("""WITH x AS (SELECT l_partkey AS scene, l_extendedprice / l_quantity / p_retailprice AS r FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 0),
 y AS (SELECT 'row' AS level, r FROM x UNION ALL SELECT 'scene', quantile_cont(r, 0.5) FROM x GROUP BY scene)
 SELECT level, round(avg(CASE WHEN abs(r - 1) <= 0.1 THEN 1.0 ELSE 0 END), 9) AS within_10, round(avg(CASE WHEN abs(r - 1) <= 0.25 THEN 1.0 ELSE 0 END), 9) AS within_25, round(avg(CASE WHEN abs(r - 1) <= 0.5 THEN 1.0 ELSE 0 END), 9) AS within_50,
-count(*) AS n, round(quantile_cont(r, 0.5), 6) AS median FROM y GROUP BY level""")
+count(*) AS n, round(quantile_cont(r, 0.05), 6) AS p05, round(quantile_cont(r, 0.5), 6) AS median, round(quantile_cont(r, 0.95), 6) AS p95 FROM y GROUP BY level""")
 def agreement_two_level(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "lineitem").where("l_quantity > 0").join(table(spark, d, "part"), c("l_partkey") == c("p_partkey"))
     x = x.select(c("l_partkey").alias("scene"), (c("l_extendedprice") / c("l_quantity") / c("p_retailprice")).alias("r"))
-    return _r(_r(stats.agreement(x, "r", "scene"), 9, "within_10", "within_25", "within_50"), 6, "median")
+    return _r(_r(stats.agreement(x, "r", "scene"), 9, "within_10", "within_25", "within_50"), 6, "p05", "median", "p95")
 
 
 _PAIRED = "SELECT user_id, avg(value) FILTER (ts < '2024-01-16') AS a, avg(value) FILTER (ts >= '2024-01-16') AS b FROM events GROUP BY user_id"
@@ -212,10 +212,43 @@ def size_inventory(spark: SparkSession, d: str) -> DataFrame:
     return stats.size_inventory(table(spark, d, "generated_images").withColumn("bokeh_role", c("bokeh_role")), "route", "bokeh_role", "bokeh_jpeg_bytes")
 
 
-@R.query()
+_SCALE = """WITH RECURSIVE daily AS (SELECT event_type, ts::DATE AS day, avg(value) AS v FROM events GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY day) AS k FROM daily WHERE v IS NOT NULL),
+s AS (SELECT event_type, k, v AS scale FROM r WHERE k = 1 UNION ALL SELECT s.event_type, r.k, {step} FROM s JOIN r ON r.event_type = s.event_type AND r.k = s.k + 1)
+SELECT event_type, round(arg_max(scale, k), 9) AS scale, CAST(max(k) AS INTEGER) AS steps FROM s GROUP BY 1"""
+_EMA = "0.9 * s.scale + (1 - 0.9) * least(r.v, 10.0 * s.scale)"
+
+
+def _daily(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.avg("value").alias("v"))
+
+
+@R.query(_SCALE.format(step=_EMA))
 def moving_scale(spark: SparkSession, d: str) -> DataFrame:
-    daily = table(spark, d, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.avg("value").alias("v"))
-    return stats.moving_scale(daily, "event_type", "day", "v")
+    return _r(stats.moving_scale(_daily(spark, d), "event_type", "day", "v"), 9, "scale")
+
+
+@R.query(_SCALE.format(step=f"CASE WHEN s.k >= 5 THEN s.scale ELSE {_EMA} END"))
+def frozen_scale(spark: SparkSession, d: str) -> DataFrame:
+    return _r(stats.moving_scale(_daily(spark, d), "event_type", "day", "v", freeze_after=5), 9, "scale")
+
+
+_ROUTES = "SELECT route, k_value AS k, coalesce(is_k_censored, false) AS cens FROM manifest WHERE k_value > 0 AND CAST(k_value AS VARCHAR) NOT IN ('nan', 'inf')"
+
+
+@R.query(f"""WITH v AS ({_ROUTES}), s AS (SELECT route, count(*) AS n, count(DISTINCT k) AS distincts, avg(cens::INT) AS cs, quantile_cont(k, 0.01) AS p01, quantile_cont(k, 0.99) AS p99, true AS one FROM v WHERE route IS NOT NULL GROUP BY 1
+UNION ALL SELECT NULL, count(*), count(DISTINCT k), avg(cens::INT), quantile_cont(k, 0.01), quantile_cont(k, 0.99), false FROM v)
+SELECT route, n, distincts, round(cs, 9) AS censored_share, round(p01, 6) AS p01, round(p99, 6) AS p99, CASE WHEN NOT one AND n < 32 THEN 'too_few_rows' WHEN distincts < CASE WHEN one THEN 8 ELSE 32 END THEN 'too_few_values'
+  WHEN NOT one AND (p01 <= 0 OR p99 / p01 < 1.05) THEN 'no_spread' WHEN cs > 0.25 THEN 'too_many_censored' END AS reason FROM s""")
+def distribution_checks(spark: SparkSession, d: str) -> DataFrame:
+    return _r(_r(stats.distribution_checks(table(spark, d, "manifest"), "k_value", "route", "is_k_censored"), 6, "p01", "p99"), 9, "censored_share")
+
+
+@R.query("""WITH v AS (SELECT route, k_value AS k FROM manifest WHERE k_value > 0 AND CAST(k_value AS VARCHAR) NOT IN ('nan', 'inf') AND route IS NOT NULL)
+SELECT route, count(*) AS n, round(count(*) / (SELECT count(*) FROM v), 9) AS share, round(avg(k), 6) AS mean, round(stddev_samp(k), 6) AS sd, round(quantile_cont(k, 0.05), 6) AS p05, round(quantile_cont(k, 0.5), 6) AS median, round(quantile_cont(k, 0.95), 6) AS p95 FROM v GROUP BY 1""")
+def run_spread(spark: SparkSession, d: str) -> DataFrame:
+    """Share, mean, spread and percentiles of a measure of each route, of finite positive values."""
+    v = table(spark, d, "manifest").where("route is not null and k_value > 0 and not isnan(k_value) and k_value < double('inf')")
+    return _r(_r(stats.spread_by_group(v, "route", "k_value"), 6, "mean", "sd", "p05", "median", "p95"), 9, "share")
 
 
 @R.query("""WITH r AS (SELECT l_extendedprice AS v, row_number() OVER (ORDER BY l_extendedprice DESC) AS rn, count(*) OVER () AS n, sum(l_extendedprice) OVER () AS t FROM lineitem),
@@ -242,6 +275,12 @@ def filter_sweep(spark: SparkSession, d: str) -> DataFrame:
     return _r(_r(audits.filter_sweep(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice", [1.0, 20.0, 40.0], 40000.0), 9, "kept", "exceed"), 4, "mean_value")
 
 
+@R.query("""SELECT cutoff, count(*) AS n, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.99), 4) AS p99, round(quantile_cont(l_extendedprice, 0.999), 4) AS p99_9
+FROM lineitem JOIN (SELECT unnest([1.0, 20.0, 40.0])::DOUBLE AS cutoff) ON l_quantity >= cutoff GROUP BY cutoff""")
+def filter_sweep_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    return _r(audits.filter_sweep_quantiles(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice", [1.0, 20.0, 40.0], {"p50": 0.5, "p99": 0.99, "p99_9": 0.999}), 4, "p50", "p99", "p99_9")
+
+
 @R.query("""WITH v AS (SELECT unnest([{'c': 'route', 'v': route}, {'c': 'k_source', 'v': k_source}, {'c': 'image_h', 'v': CAST(image_h AS VARCHAR)}], recursive := true) FROM manifest), f AS (SELECT c, v, count(*) AS n FROM v GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY n DESC, v) AS k FROM f WHERE v IS NOT NULL), s AS (SELECT c, CAST(sum(n) AS BIGINT) AS rows_in, CAST(coalesce(sum(n) FILTER (v IS NOT NULL), 0) AS BIGINT) AS non_null, count(v) AS distincts, min(v) AS least, max(v) AS most FROM f GROUP BY c),
 t AS (SELECT c, list(v ORDER BY k) FILTER (k <= 8) AS top_values, max(v) FILTER (k = 1) AS mode, max(n) AS m FROM r GROUP BY c)

@@ -50,9 +50,13 @@ def mirror_index(spark: SparkSession, folder: str, name: str = "file_name_base")
 
 def mirror_cells(spark: SparkSession, folder: str, wanted: DataFrame, column: str, name: str = "file_name_base") -> DataFrame:
     """wanted (name, ...) with the bytes of their cell in ``column``, their type, SHA-256 and size; null where there is none.
-    Names are joined before the cells' bytes are read past the scan."""
+
+    The scan meets the wanted names, broadcast up to a bound, before anything is shuffled, so that only cells that are wanted
+    leave it; wanted rows without a cell are added by a second join with these few.
+    """
     cells = spark.read.parquet(folder).select(F.col(name).alias("name"), F.col(f"{column}.bytes").alias("bytes"))
-    out = wanted.join(cells, "name", "left")
+    hits = cells.join(broadcast_checked(wanted.select("name").distinct()), "name", "left_semi")
+    out = wanted.join(stage(hits, "cells"), "name", "left")
     return out.withColumns({"kind": image_type(F.col("bytes")), "sha256": F.sha2("bytes", 256), "n_bytes": F.length("bytes")})
 
 
@@ -60,15 +64,16 @@ def enumerate_files(spark: SparkSession, folder: str, suffixes: list[str], measu
     """(candidates, rejected): files below folder by suffix, with size and SHA-256, and optionally measure(content).
 
     Of files with the same content the first by path is a candidate; later ones are rejected as duplicate_content with the
-    first's path, files that measure gives null for as unreadable. Empty files aren't read at all.
+    first's path, files that measure gives null for, and empty ones, as unreadable. Other files aren't opened; a suffix is
+    matched in lower and in upper case.
     """
-    pattern = "(?i)\\.(" + "|".join(s.lstrip(".") for s in suffixes) + ")$"
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).where(F.col("path").rlike(pattern))
+    names = "{" + ",".join(f"*.{x}" for s in suffixes for x in sorted({s.lstrip(".").lower(), s.lstrip(".").upper()})) + "}"
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", names).load(folder)
     cols = {"sha256": F.sha2("content", 256)} | ({} if measure is None else {"measure": measure(F.col("content"))})
     files = stage(raw.withColumns(cols).drop("content"), "files")
     w = Window.partitionBy("sha256").orderBy("path")
     seen = files.withColumn("first_path", F.first("path").over(w)).withColumn("_rn", F.row_number().over(w))
-    unread = F.lit(False) if measure is None else F.col("measure").isNull()
+    unread = (F.col("length") == 0) if measure is None else (F.col("length") == 0) | F.col("measure").isNull()
     reason = F.when(unread, "unreadable").when(F.col("_rn") > 1, "duplicate_content")
     seen = seen.withColumn("reason", reason).drop("_rn")
     return seen.where("reason is null").drop("reason", "first_path"), seen.where("reason is not null")

@@ -49,16 +49,21 @@ def cached(df: DataFrame, folder: str, version: str) -> DataFrame:
 
 
 def publish(df: DataFrame, folder: str, by: str, rows_per_file: int = 2000, allow_existing: bool = False) -> DataFrame:
-    """Write df by ``by`` in files of at most rows_per_file rows, refuse a folder that isn't empty unless allowed, and give the
-    count of each part before and after."""
+    """Write df by ``by`` in files of at most rows_per_file rows, refuse a folder that isn't empty unless allowed, and give for
+    each part the rows sent, found there afterwards and there before; whole where nothing but the sent rows came."""
     spark = df.sparkSession
-    if not allow_existing and exists(spark, f"{folder}/*"):
+    full = exists(spark, f"{folder}/*")
+    if full and not allow_existing:
         raise ValueError(f"not empty: {folder}")
+
+    def counts(x: DataFrame, name: str) -> DataFrame:
+        return x.groupBy(F.coalesce(F.col(by).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__")).alias("part")).agg(F.count(F.lit(1)).alias(name))
+
     whole = stage(df, "publish")
+    before = stage(counts(spark.read.parquet(folder), "before"), "before") if full else spark.createDataFrame([], "part string, before bigint")
     whole.write.mode("append").option("maxRecordsPerFile", rows_per_file).partitionBy(by).parquet(folder)
-    a = whole.groupBy(F.col(by).cast("string").alias("part")).agg(F.count(F.lit(1)).alias("sent"))
-    b = spark.read.parquet(folder).groupBy(F.col(by).cast("string").alias("_p")).agg(F.count(F.lit(1)).alias("found"))
-    return a.join(b, F.col("part").eqNullSafe(F.col("_p")), "full").select(F.coalesce("part", "_p").alias("part"), "sent", "found", F.coalesce(F.col("sent") == F.col("found"), F.lit(False)).alias("whole"))
+    j = counts(whole, "sent").join(counts(spark.read.parquet(folder), "found"), "part", "full").join(before, "part", "left").na.fill(0, ["sent", "found", "before"])
+    return j.select("part", "sent", "found", "before", (F.col("sent") == F.col("found") - F.col("before")).alias("whole"))
 
 
 def card(df: DataFrame, title: str, measures: dict[str, Column]) -> str:

@@ -153,3 +153,61 @@ def test_stream_windows_equal_batch(spark, tmp_path):
     assert len(seen) == 3
     streams.register_metric(spark, "twice", lambda s: s * 2)
     assert spark.sql("select twice(2.0D)").first()[0] == 4.0
+
+
+def test_publish_counts_what_came(spark, tmp_path):
+    from quern.sources import writers
+
+    hub, part = str(tmp_path / "hub"), lambda n: spark.createDataFrame([("s", i) for i in range(n)] + [(None, -1)], "scene_id string, i int")
+    writers.publish(part(3), hub, "scene_id")
+    got = {r["part"]: r for r in writers.publish(part(2), hub, "scene_id", allow_existing=True).collect()}
+    assert (got["s"]["sent"], got["s"]["found"], got["s"]["before"]) == (2, 5, 3) and all(r["whole"] for r in got.values()) and len(got) == 2
+
+
+def test_filtered_png_rows():
+    import struct
+    import zlib
+
+    import numpy as np
+
+    from quern.sources import images
+
+    rng = np.random.default_rng(3)
+    for c, colour in ((1, 0), (3, 2)):
+        want = rng.integers(0, 256, (7, 9, c)).astype(np.uint8)
+        flat, rows = want.reshape(7, -1).astype(int), b""
+        for y in range(7):
+            how, row = y % 5, []
+            for x in range(9 * c):
+                a, b = flat[y, x - c] if x >= c else 0, flat[y - 1, x] if y else 0
+                k = flat[y - 1, x - c] if y and x >= c else 0
+                near = [0, a, b, (a + b) // 2, min((a, b, k), key=lambda v: abs(a + b - k - v))][how]
+                row.append((flat[y, x] - near) % 256)
+            rows += bytes([how, *row])
+        chunk = lambda k, b: struct.pack(">I", len(b)) + k + b + struct.pack(">I", zlib.crc32(k + b))
+        png = images.SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", 9, 7, 8, colour, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+        assert (images.decode_png(png) == want).all()
+
+
+def test_unknown_sides_and_routes_are_errors(spark):
+    from quern.operators import sampling
+
+    df = spark.createDataFrame([("a", " Train "), ("x", "who")], "route string, split string")
+    names = {"train": "train"}
+    assert [r[0] for r in df.select(sampling.side_from_source(F.col("split"), names)).collect()] == ["train", None]
+    with pytest.raises(Exception, match="no side for split who"):
+        df.select(sampling.side_from_source(F.col("split"), names, strict=True)).collect()
+    with pytest.raises(ValueError, match="no weight for route x"):
+        sampling.route_weights(df, "route", {"a": 1.0}, strict=True)
+
+
+def test_texts_and_labels(spark):
+    from quern.functions import text
+
+    one = spark.range(1)
+    get = lambda c: one.select(c).first()[0]
+    assert get(text.training_step(F.lit("run-60k-b"))) == 60_000 and get(text.training_step(F.lit("run"))) is None
+    assert get(text.named_pairs(F.lit("a=1,b=x"))) == {"a": "1", "b": "x"}
+    assert get(text.content_hash(F.lit(1).alias("a"), F.lit(None).alias("b"))) == get(F.sha2(F.lit('{"a":1,"b":null}'), 256))
+    assert get(text.chosen(F.lit("abc"), ["b"], ["x"])) and not get(text.chosen(F.lit("abc"), [], ["c"])) and not get(text.chosen(F.lit(None).cast("string"), [], []))
+    assert get(text.first_substring(F.lit("xyab"), {"ab": "one", "xy": "two"})) == "one"
