@@ -17,6 +17,18 @@ _LAP = f"""WITH {_CELLS}, lap AS (SELECT c.image_id, c.y, c.x, coalesce(u.v, {{o
 LEFT JOIN cells d ON d.image_id = c.image_id AND d.y = c.y + 1 AND d.x = c.x LEFT JOIN cells l ON l.image_id = c.image_id AND l.y = c.y AND l.x = c.x - 1 LEFT JOIN cells r ON r.image_id = c.image_id AND r.y = c.y AND r.x = c.x + 1)
 """
 
+def _grid(name: str, values: str, scale: str) -> str:
+    """SQL of name: each cell's value z, its gradients p and q, and second derivatives, edges replicated; values: array expression."""
+    at = lambda dy, dx: f"v[greatest(0, least(7, i // 8 + ({dy}))) * 8 + greatest(0, least(7, i % 8 + ({dx}))) + 1] / {scale}"
+    return f"""{name} AS (SELECT image_id, i, {at(0, 0)} AS z, ({at(0, 1)} - {at(0, -1)}) / CASE WHEN i % 8 IN (0, 7) THEN 1 ELSE 2 END AS p, ({at(1, 0)} - {at(-1, 0)}) / CASE WHEN i // 8 IN (0, 7) THEN 1 ELSE 2 END AS q,
+  {at(0, 1)} - 2 * {at(0, 0)} + {at(0, -1)} AS xx, {at(1, 0)} - 2 * {at(0, 0)} + {at(-1, 0)} AS yy, ({at(1, 1)} - {at(1, -1)} - {at(-1, 1)} + {at(-1, -1)}) / 4 AS xy
+  FROM (SELECT image_id, {values} AS v FROM aif_images WHERE thumb IS NOT NULL AND len(thumb) = 64), range(64) t(i))"""
+
+
+_THUMB = "CAST(thumb AS DOUBLE[])"
+_FLIP = "list_transform(range(64), lambda j: CAST(thumb[(j // 8) * 8 + 8 - j % 8] AS DOUBLE))"
+_GAUSS = "greatest(-50, least(50, (xx * yy - xy * xy) / ((1 + p * p + q * q) * (1 + p * p + q * q))))"
+
 
 def _thumbs(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "aif_images").where("thumb is not null and size(thumb) = 64")
@@ -146,7 +158,12 @@ def image_pairs_quality(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).select("image_id", f("thumb", "other").alias("s")).select("image_id", "s.*")
 
 
-@R.query()
+@R.query(f"""WITH {_grid("g", _THUMB, "16.0")}, o AS (SELECT image_id, quantile_cont(sqrt(p * p + q * q) * 16, 0.97) AS top FROM g GROUP BY 1),
+h AS (SELECT *, (xx * yy - xy * xy) / ((1 + p * p + q * q) * (1 + p * p + q * q)) AS gk, ((1 + q * q) * xx - 2 * p * q * xy + (1 + p * p) * yy) / (2 * pow(1 + p * p + q * q, 1.5)) AS mh FROM g),
+k AS (SELECT *, greatest(-50, least(50, mh - sqrt(greatest(mh * mh - gk, 0)))) AS k1, greatest(-50, least(50, mh + sqrt(greatest(mh * mh - gk, 0)))) AS k2 FROM h)
+SELECT image_id, round(avg(greatest(-50, least(50, gk))), 6) AS "K", round(avg(greatest(-50, least(50, mh))), 6) AS "H", round(avg(k1), 6) AS k1, round(avg(k2), 6) AS k2,
+  round(avg(CASE WHEN k2 - k1 < 1e-8 THEN 0 ELSE 2 / pi() * atan((k2 + k1) / (k2 - k1 + 1e-8)) END), 6) AS shape_index, round(avg(sqrt((k1 * k1 + k2 * k2) / 2)), 6) AS curvedness,
+  round(avg(sqrt(1 + p * p + q * q)), 6) AS area, round(avg(greatest(0, least(1, sqrt(p * p + q * q) * 16 / (top + 1e-8)))), 6) AS occlusion FROM k JOIN o USING (image_id) GROUP BY 1""")
 def surface_signals(spark: SparkSession, d: str) -> DataFrame:
     """Means over each preview, as a height field, of curvatures, shape index, curvedness, area element and occlusion."""
 
@@ -156,20 +173,30 @@ def surface_signals(spark: SparkSession, d: str) -> DataFrame:
 
     names = ("K", "H", "k1", "k2", "shape_index", "curvedness", "area", "occlusion")
     f = arrays.raster(run, 8, 8, "struct<" + ",".join(f"{n}:double" for n in names) + ">")
-    return _thumbs(spark, d).select("image_id", f("thumb").alias("s")).select("image_id", "s.*")
+    return _thumbs(spark, d).select("image_id", f("thumb").alias("s")).select("image_id", *[F.round(f"s.{n}", 6).alias(n) for n in names])
 
 
-@R.query()
+@R.query(f"""WITH {_grid("g", "list_transform(CAST(thumb AS DOUBLE[]), lambda v: greatest(v, 0.0))", "255.0")},
+e AS (SELECT g.*, (SELECT bool_and(n.z > 0) FROM g n WHERE n.image_id = g.image_id AND abs(n.i // 8 - g.i // 8) + abs(n.i % 8 - g.i % 8) <= 1) AS whole FROM g),
+s AS (SELECT *, sqrt(1 + p * p + q * q) AS a FROM e), ch AS (SELECT image_id, i, unnest([0, 1, 2, 3, 4, 5]) AS c, unnest([least(1.0, z), CASE WHEN whole THEN least(1.0, sqrt(p * p + q * q) / (0.2 + 1e-8)) ELSE 0.0 END,
+  least(1.0, a / 1.2), (1 - p / a) / 2, (1 - q / a) / 2, CASE WHEN z > 0 THEN 1.0 ELSE 0.0 END]) AS v FROM s)
+SELECT image_id, CAST(c AS INTEGER) AS channel, list(round(v, 6) ORDER BY i) AS cells FROM ch GROUP BY 1, 2""")
 def geometry_stack(spark: SparkSession, d: str) -> DataFrame:
     """Six geometry channels of each preview as a disparity map, flattened, channel after channel."""
     f = arrays.raster(lambda z: kernels.geometry_stack(z / 255.0, 1.0, 1.2, 0.2).reshape(len(z), -1), 8, 8, "array<double>")
-    return _thumbs(spark, d).select("image_id", f("thumb").alias("channels"))
+    whole = _thumbs(spark, d).select("image_id", F.transform(f("thumb"), lambda v: F.round(v, 6)).alias("v"))
+    return whole.select("image_id", F.posexplode(F.array(*[F.slice("v", k * 64 + 1, 64) for k in range(6)])).alias("channel", "cells"))
 
 
-@R.query()
+@R.query(f"""WITH {_grid("g0", "list_transform(CAST(thumb AS DOUBLE[]), lambda v: 2 + v / 255.0)", "1.0")}, g AS (SELECT *, (i % 8 - 3.5) / 40.0 AS a, (i // 8 - 3.5) / 40.0 AS b FROM g0),
+s AS (SELECT *, a * p + z / 40 AS ux, b * p AS uy, p AS uz, a * q AS vx, b * q + z / 40 AS vy, q AS vz FROM g),
+c AS (SELECT *, uy * vz - uz * vy AS cx, uz * vx - ux * vz AS cy, ux * vy - uy * vx AS cz, (ux * ux + uy * uy + uz * uz) * (vx * vx + vy * vy + vz * vz) - pow(ux * vx + uy * vy + uz * vz, 2) AS den FROM s),
+m AS (SELECT *, sqrt(cx * cx + cy * cy + cz * cz) + {{eps}} AS len FROM c),
+d AS (SELECT image_id, den, ((a * xx + 2 * p / 40) * cx + b * xx * cy + xx * cz) / len AS l, (a * yy * cx + (b * yy + 2 * q / 40) * cy + yy * cz) / len AS n, ((a * xy + q / 40) * cx + (b * xy + p / 40) * cy + xy * cz) / len AS m FROM m)
+SELECT image_id, round(avg(abs((l * n - m * m) / CASE WHEN abs(den) < {{eps}} THEN {{eps}} ELSE den END)), 6) AS mean_abs_k FROM d GROUP BY 1""".replace("{eps}", repr(kernels.EPS)))
 def projected_curvature(spark: SparkSession, d: str) -> DataFrame:
     f = arrays.raster(lambda z: np.abs(kernels.projected_curvature(2 + z / 255.0, 40.0, 40.0, 3.5, 3.5)).mean((1, 2)), 8, 8, "double")
-    return _thumbs(spark, d).select("image_id", f("thumb").alias("mean_abs_k"))
+    return _thumbs(spark, d).select("image_id", F.round(f("thumb"), 6).alias("mean_abs_k"))
 
 
 @R.query()
@@ -178,11 +205,15 @@ def boundary_scores(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).select("image_id", f("thumb", "other").alias("s")).select("image_id", "s.*")
 
 
-@R.query()
+@R.query(f"""WITH {_grid("a", _THUMB, "255.0")}, {_grid("b", _FLIP, "255.0")}, ka AS (SELECT image_id, i, z, p, q, {_GAUSS} AS k, sqrt(1 + p * p + q * q) AS n FROM a), kb AS (SELECT image_id, i, z AS z2, p AS p2, q AS q2, {_GAUSS} AS k2, sqrt(1 + p * p + q * q) AS n2 FROM b),
+j AS (SELECT *, abs(z - z2) AS d FROM ka JOIN kb USING (image_id, i)), w AS (SELECT *, 0.2 * greatest(max(d) OVER (PARTITION BY image_id), 1e-6) AS c FROM j)
+SELECT image_id, round(avg(CASE WHEN d <= c THEN d ELSE (d * d + c * c) / (2 * c) END), 6) AS berhu, round(avg(abs(p - p2) + abs(q - q2)), 6) AS gradient, round(avg(1 - greatest(-1, least(1, (p * p2 + q * q2 + 1) / (n * n2)))), 6) AS normal,
+  round(avg(abs(k - k2)), 6) AS curvature, round(avg(abs(n - n2)), 6) AS arc, round(avg(least(100, sqrt(pow(p * p - p2 * p2, 2) + 2 * pow(p * q - p2 * q2, 2) + pow(q * q - q2 * q2, 2)))), 6) AS metric,
+  round(abs(ln(greatest(avg(z), 1e-6)) - ln(greatest(avg(z2), 1e-6))), 6) AS scale FROM w GROUP BY 1""")
 def pair_losses(spark: SparkSession, d: str) -> DataFrame:
     names = ("berhu", "gradient", "normal", "curvature", "arc", "metric", "scale")
     f = arrays.raster(lambda a, b: kernels.losses(a / 255.0, b / 255.0), 8, 8, "struct<" + ",".join(f"{n}:double" for n in names) + ">", 2)
-    return _pairs(spark, d).select("image_id", f("thumb", "other").alias("s")).select("image_id", "s.*")
+    return _pairs(spark, d).select("image_id", f("thumb", "other").alias("s")).select("image_id", *[F.round(f"s.{n}", 6).alias(n) for n in names])
 
 
 @R.query()

@@ -113,9 +113,17 @@ def cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return inference.cluster_interval(table(spark, d, "manifest"), ["source_dataset"], "scene_id", "focus_agreement", draws=1000)
 
 
-@R.query()
+_Z = 1.959963984540054
+#: The 97.5 % quantiles of Student's t with 1 to 30 degrees of freedom; beyond, the expansion about the normal one.
+_T30 = [12.706205, 4.302653, 3.182446, 2.776445, 2.570582, 2.446912, 2.364624, 2.306004, 2.262157, 2.228139, 2.200985, 2.178813, 2.160369, 2.144787, 2.131450,
+        2.119905, 2.109816, 2.100922, 2.093024, 2.085963, 2.079614, 2.073873, 2.068658, 2.063899, 2.059539, 2.055529, 2.051831, 2.048407, 2.045230, 2.042272]
+_T = f"CASE WHEN v <= 30 THEN ({_T30})[v::INTEGER] ELSE " + " + ".join([repr(_Z), f"{(_Z**3 + _Z) / 4!r} / v", f"{(5 * _Z**5 + 16 * _Z**3 + 3 * _Z) / 96!r} / pow(v, 2)", f"{(3 * _Z**7 + 19 * _Z**5 + 17 * _Z**3 - 15 * _Z) / 384!r} / pow(v, 3)"]) + " END"
+
+
+@R.query(f"""WITH x AS (SELECT k_source, count(*) AS n, avg(focus_agreement) AS m, stddev_samp(focus_agreement) / sqrt(count(*)) AS se, count(*) - 1.0 AS v FROM manifest WHERE focus_agreement IS NOT NULL AND CAST(focus_agreement AS VARCHAR) NOT IN ('nan', 'inf', '-inf') GROUP BY 1)
+SELECT k_source, n, round(m, 4) AS mean, round(m - ({_T}) * se, 4) AS lo, round(m + ({_T}) * se, 4) AS hi FROM x""")
 def student_interval(spark: SparkSession, d: str) -> DataFrame:
-    return inference.mean_interval(table(spark, d, "manifest"), ["k_source"], "focus_agreement")
+    return _r(inference.mean_interval(table(spark, d, "manifest"), ["k_source"], "focus_agreement"), 4, "mean", "lo", "hi")
 
 
 @R.query("""WITH x AS (SELECT row_id, rank() OVER (ORDER BY abs(focus_agreement - 0.6)) + (count(*) OVER (PARTITION BY abs(focus_agreement - 0.6)) - 1) / 2.0 AS r, sign(focus_agreement - 0.6) AS s FROM manifest
