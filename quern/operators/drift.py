@@ -120,13 +120,16 @@ def field_values(table: DataFrame, schema: dict[str, str], keep: list[str]) -> D
     """
     names, _ = _names(list(schema), [])
     kinds = {"string": "string", "boolean": "boolean"}
-    one = lambda field, kind, value: F.struct(F.lit(field).alias("field"), F.lit(kind).alias("kind"), value.alias("value"))
-    kept = [F.when(F.col(names[f]).isNotNull(), one(f, kinds.get(k, "number"), F.col(names[f]) if k == "string" else _spelled(F.col(names[f])))) for f, k in schema.items()]
-    no_entries = F.array().cast("array<struct<field:string,kind:string,value:string>>")
-    text = lambda x: F.when(_kind(x) == "string", _unquoted(x)).when((_kind(x) == "number") & ~x.rlike(_LONG), _spelled(F.coalesce(x.try_cast("double").cast("string"), x))).when(x != "null", x)
-    rest = F.transform(F.map_entries("__m"), lambda e: F.struct(e["key"].alias("field"), _kind(e["value"]).alias("kind"), text(e["value"]).alias("value")))
-    each = F.concat(F.array_compact(F.array(*kept)) if kept else no_entries, F.coalesce(rest, no_entries))
-    return _with_texts(table, "rescued", "__m").select(*keep, F.explode(each).alias("__e")).select(*keep, "__e.*")
+    one = lambda field, kind, text: F.struct(F.lit(field).alias("field"), F.lit(kind).cast("string").alias("is_a"), text.alias("text"))
+    kept = [F.when(F.col(names[f]).isNotNull(), one(f, kinds.get(k, "number"), F.col(names[f]).cast("string"))) for f, k in schema.items()]
+    none = F.array().cast("array<struct<field:string,is_a:string,text:string>>")
+    rest = F.transform(F.map_entries("__m"), lambda e: F.struct(e["key"].alias("field"), F.lit(None).cast("string").alias("is_a"), e["value"].alias("text")))
+    each = F.explode(F.concat(F.array_compact(F.array(*kept)) if kept else none, F.coalesce(rest, none))).alias("__e")
+    flat = _with_texts(table, "rescued", "__m").select(*keep, each).select(*keep, "__e.*").withColumn("kind", F.coalesce("is_a", _kind(F.col("text"))))
+    text, kind = F.col("text"), F.col("kind")
+    number = F.when(text.rlike(_LONG), text).otherwise(_spelled(F.coalesce(text.try_cast("double").cast("string"), text)))
+    value = F.when(kind == "string", F.when(F.col("is_a").isNull(), _unquoted(text)).otherwise(text)).when(kind == "number", number).when(kind.isNotNull(), text)
+    return flat.select(*keep, "field", "kind", value.alias("value"))
 
 
 def _presence(table: DataFrame, schema: dict[str, str], group: str, order: str, file: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
