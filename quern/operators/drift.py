@@ -27,7 +27,7 @@ def _with_texts(df: DataFrame, json: str, name: str) -> DataFrame:
 
 def _object(fields: Column) -> Column:
     """The JSON object of a map of name -> JSON text, null if it is empty."""
-    quoted = lambda k: F.regexp_extract(F.to_json(F.array(k)), r"(?s)\A\[(.*)\]\z", 1)
+    quoted = lambda k: F.when(k.rlike(r"\A[\w .-]*\z"), F.concat(F.lit('"'), k, F.lit('"'))).otherwise(F.regexp_extract(F.to_json(F.array(k)), r"(?s)\A\[(.*)\]\z", 1))
     parts = F.transform(F.map_entries(fields), lambda e: F.concat(quoted(e["key"]), F.lit(":"), e["value"]))
     return F.when(F.size(fields) > 0, F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}")))
 
